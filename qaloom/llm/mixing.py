@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Documents are tokenised with a public tokenizer and packed, source by source,
-into blocks of ``block`` tokens.  For each of ``shards`` output shards a
-multinomial draw says how many blocks come from which source; a source's slots
+into blocks of ``block`` tokens.  Multinomial draws say how many blocks of which
+source each of the ``shards`` output shards gets; a source's slots
 are numbered across shards, and a pseudo-random permutation of its block indices
 (another one for each repeat) says which block a slot holds.  Slots and blocks
 are joined by index, so nothing is shuffled but the blocks themselves, and no
@@ -128,12 +128,11 @@ def mixture(counts: DataFrame, targets: DataFrame, block: int = 512, shards: int
     budget = max((float(r["budget_pct"]) / 100 * r["all_tokens"] for r in plan), default=0.0)
     slots = int(np.ceil(budget / block))
     cap = np.array([(r["max_repeats"] or 0) * (r["n_blocks"] or 0) for r in plan], dtype=np.int64)
-    # a short source has the share that it can reach; what it lacks stays unfilled
-    share = np.array([min(r["target_pct"] / 100, c / max(slots, 1)) for r, c in zip(plan, cap)])
-    total = share.sum()
-    chances = np.append(share, max(0.0, 1.0 - total)) / max(1.0, total) if len(plan) else np.ones(1)
-    each = [slots // shards + (i < slots % shards) for i in range(shards)]
-    drawn = np.array([rng.multinomial(n, chances / chances.sum()) for n in each])[:, :-1] if len(plan) else np.zeros((shards, 0), np.int64)
+    # blocks of each source: its share, or what it can reach; what a short source lacks stays unfilled
+    total = max(1.0, sum(r["target_pct"] for r in plan) / 100)
+    blocks_of = np.minimum(np.array([round(slots * r["target_pct"] / 100 / total) for r in plan], dtype=np.int64), cap) if plan else cap
+    # dealt to the shards: a multinomial draw for each source, so that the shares are met exactly in sum
+    drawn = np.array([rng.multinomial(n, np.full(shards, 1.0 / shards)) for n in blocks_of], dtype=np.int64).reshape(len(plan), shards).T
     first = np.cumsum(drawn, axis=0) - drawn
     rows = []
     for j, r in enumerate(plan):
