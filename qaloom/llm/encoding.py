@@ -204,7 +204,7 @@ class Restorer:
     """Restores one text after another; outcomes of runs met before are kept, up to a bound."""
 
     GAIN_SWAP = 2.0  # bits a pair by which a single-byte swap must improve a run
-    LOSS_UTF8 = 3.0  # bits a pair that a valid multi-byte decoding may lose
+    LOSS_UTF8 = 3.0  # bits a pair that a valid multi-byte decoding of a whole run may lose
     KEPT = 200_000
 
     def __init__(self, model: PairModel):
@@ -258,7 +258,7 @@ class Restorer:
             if more:
                 text, name = again, f"{name}, twice"
             now = self.model.of(text, before, after)
-            if float(now.mean()) >= mean - self.LOSS_UTF8 and not any("\x80" <= c < "\xa0" for c in text):
+            if float(now.mean()) >= mean - (0.0 if left else self.LOSS_UTF8) and not any("\x80" <= c < "\xa0" for c in text):
                 found.append((name, text, (float(now.mean()) - mean) + 4.0 * done - 2.0 * left))
         if not found:
             for stored, mistaken in SWAPS.items():

@@ -79,7 +79,7 @@ def pack(counts: DataFrame, block: int = 512, lane_tokens: int = 4_000_000) -> D
 
     Blocks of a source are numbered from 0 without holes.
     """
-    rows = counts.where("source is not null and n_tokens > 0")
+    rows = counts.select("doc_id", "source", "n_tokens").where("source is not null and n_tokens > 0")
     lanes = rows.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_tokens") / lane_tokens)).cast("bigint").alias("n_lanes"))
     # sources are as many as the data has, so Catalyst picks the join by their size
     dealt = rows.join(lanes, "source").withColumn("order", F.xxhash64("doc_id")).withColumn("lane", F.pmod("order", "n_lanes"))

@@ -1,0 +1,20 @@
+"""All llm queries run on the smallest tables; those with SQL agree with it."""
+
+import duckdb
+import pytest
+
+from qaloom.llm import catalogue
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_runs(spark, sf, name):
+    df = catalogue.QUERIES[name](spark, sf)
+    rows = df.collect()
+    if name in catalogue.ORACLES:
+        con = duckdb.connect()
+        for t in ("request", "responses", "train_sft", "selected_qids", "detailed_results", "documents", "sample_target", "mix_target"):
+            con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        want = con.sql(catalogue.ORACLES[name])
+        key = lambda rows, columns: sorted(str([r[columns.index(c)] for c in sorted(columns)]) for r in rows)
+        assert sorted(df.columns) == sorted(want.columns)
+        assert key([tuple(r) for r in rows], df.columns) == key(want.fetchall(), want.columns)
