@@ -33,3 +33,62 @@ def label(text: Column) -> Column:
 def trimmed_lower(text: Column) -> Column:
     """Outer white space and letter case removed; null if nothing is left."""
     return F.nullif(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(""))
+
+
+def folded(text: Column) -> Column:
+    """Lower case with sharp s written out, which is case folding for western text."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def question_key(text: Column) -> Column:
+    """Question for template matching: trimmed, white space collapsed, case folded; '' for null."""
+    return F.coalesce(folded(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))), F.lit(""))
+
+
+def intent_text(text: Column) -> Column:
+    """Question for intent cues: spelling variants of a few words unified, clock times replaced by ``<time>``."""
+    t = F.regexp_replace(folded(text), "[\u2013\u2014]", "-")
+    t = F.regexp_replace(t, r"\btime[\s-]*point\b", "time point")
+    t = F.regexp_replace(t, r"\bre[\s-]*appear\b", "reappear")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.regexp_replace(t, r"\b\d{2}:\d{2}:\d{2}\b", "<time>")
+
+
+def token(text: Column) -> Column:
+    """Lower-case letters and digits, everything between them one ``_``."""
+    return F.btrim(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def slug(text: Column, longest: int = 60) -> Column:
+    """File-name-safe form; ``video`` if nothing is left."""
+    t = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+    return F.substring(F.coalesce(F.nullif(t, F.lit("")), F.lit("video")), 1, longest)
+
+
+def stem(name: Column) -> Column:
+    """File name without its last suffix."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+
+
+def cache_folder(dataset: Column, video: Column) -> Column:
+    """Stable folder of a video's cached frames: slug and the first 12 digits of a digest of dataset and video."""
+    digest = F.substring(F.sha1(F.concat_ws("|", dataset, video)), 1, 12)
+    return F.concat_ws("_", slug(stem(video)), digest)
+
+
+def as_double(text: Column) -> Column:
+    """Number of a text cell; null if blank, not a number or NaN."""
+    n = F.nullif(F.trim(text), F.lit("")).try_cast("double")
+    return F.when(~F.isnan(n), n)
+
+
+def as_whole(text: Column) -> Column:
+    """Whole part of a text cell's number, toward zero."""
+    return F.when(as_double(text).isNotNull(), F.when(as_double(text) >= 0, F.floor(as_double(text))).otherwise(F.ceil(as_double(text))).cast("bigint"))
+
+
+def listing(names: Column) -> Column:
+    """``a``, ``a and b`` or ``a, b, and c``; null for an empty list."""
+    n = F.size(names)
+    long = F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", and "), F.element_at(names, -1))
+    return F.when(n == 1, F.get(names, 0)).when(n == 2, F.array_join(names, " and ")).when(n > 2, long)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from qaloom.plans import intervals
+from qaloom.plans import frames, intervals
 
-_MODULES = (intervals,)
-FLAGSHIP = "p6_found"
+_MODULES = (frames, intervals)
+FLAGSHIP = "frame_plan"
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
