@@ -35,6 +35,11 @@ def trimmed_lower(text: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(""))
 
 
+def blank(text: Column) -> Column:
+    """Whether a text is null or all white space."""
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+
+
 def folded(text: Column) -> Column:
     """Lower case with sharp s written out, which is case folding for western text."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))

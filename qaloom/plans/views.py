@@ -85,13 +85,15 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 def log(spark: SparkSession, sf: str) -> DataFrame:
     """The inference log: text cells as a CSV file has them, '' for what is missing."""
     r = results(spark, sf)
-    return r.select("qid", F.coalesce("inference_status", F.lit("")).alias("status"), F.coalesce(F.format_string("%.6f", "latency_s"), F.lit("")).alias("latency"), F.when(F.col("timed_out"), "TimeoutError").otherwise("").alias("error_type"))
+    return r.select("qid", F.coalesce("inference_status", F.lit("")).alias("status"), F.when(F.col("latency_s").isNotNull(), F.format_string("%.6f", "latency_s")).otherwise("").alias("latency"), F.when(F.col("timed_out"), "TimeoutError").otherwise("").alias("error_type"))
 
 
 # --- the same as SQL ------------------------------------------------------------
 
 LABEL = r"nullif(regexp_replace(lower(regexp_replace({}, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g'), '')"
 VKEY = r"nullif(regexp_replace(lower(regexp_replace({}, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '')"
+#: Class of white-space characters, also beyond ASCII.  SQL texts name it ``@WS@``, see ``with_white_space``.
+WHITE_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]"
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
@@ -133,3 +135,7 @@ def cap_sql(a: str, k: str) -> str:
 
 def rint_sql(t: str, fps: str, total: str) -> str:
     return f"greatest(0, least({total} - 1, round_even(({t}) * {fps}, 0)::bigint))"
+
+
+def with_white_space(oracles: dict[str, str]) -> dict[str, str]:
+    return {name: sql.replace("@WS@", WHITE_SPACE) for name, sql in oracles.items()}
