@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from qaloom.plans import frames, intervals, manifests, scores, texts
+from qaloom.plans import frames, intervals, manifests, scores, streams, texts
 
-_MODULES = (frames, texts, scores, manifests, intervals)
+_MODULES = (frames, texts, scores, manifests, intervals, streams)
 FLAGSHIP = "frame_plan"
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in m.ORACLES.items()}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from qaloom.functions import capabilities, prompts
 from qaloom.functions.text import blank, trimmed_lower
+from qaloom.functions.timecode import hhmmss, rint_index
 from qaloom.operators import contracts, lookup, providers, resume
-from qaloom.operators.frames import frame_plan
+from qaloom.operators.frames import planned_times
 from qaloom.plans import views as v
 
 
@@ -19,8 +20,10 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
-    frames = frame_plan(v.request_frames(spark, sf)).drop("dataset")
-    return _samples(spark, sf).select("sample_id", "qid", "dataset", "split", "metadata", "assistant_text").join(frames, "qid")
+    """Records with the windows of their questions and the times to look at; joined first, so only what is needed is planned."""
+    windows = v.request_frames(spark, sf).drop("dataset")
+    rows = _samples(spark, sf).select("sample_id", "qid", "dataset", "split", "metadata", "assistant_text").join(windows, "qid")
+    return planned_times(v.spread(rows, "sample_id"))
 
 
 def manifest_flat(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +32,7 @@ def manifest_flat(spark: SparkSession, sf: str) -> DataFrame:
     code = F.col("metadata.primary_capability")
     return m.select(
         "sample_id", "qid", F.coalesce("dataset", F.lit("")).alias("dataset"), F.coalesce("split", F.lit("")).alias("split"), "video", F.round(F.col("end_time") - F.col("start_time"), 6).alias("duration_s"), F.col("metadata.candidate_count_1fps").alias("candidate_count"),
-        F.size("frames").cast("bigint").alias("n_frames"), F.to_json(F.transform("frames", lambda f: f["timestamp"])).alias("timestamps"), F.to_json(F.transform("frames", lambda f: f["source_index"])).alias("source_indices"),
+        F.size("times").cast("bigint").alias("n_frames"), F.to_json(F.transform("times", lambda t: hhmmss(F.col("start_time") + t))).alias("timestamps"), F.to_json(F.transform("times", lambda t: rint_index(F.col("start_time") + t, F.col("fps"), F.col("total_frames")))).alias("source_indices"),
         code.alias("capability"), capabilities.code_group(code).alias("capability_digit"), capabilities.joined_codes(F.col("metadata.secondary_capabilities")).alias("secondary"), F.coalesce("metadata.ood", F.lit(False)).alias("ood"),
     )
 
@@ -37,9 +40,9 @@ def manifest_flat(spark: SparkSession, sf: str) -> DataFrame:
 def sft_records(spark: SparkSession, sf: str) -> DataFrame:
     """Training records from the manifest: image lines, prompt and answer, as digests."""
     m = _manifest(spark, sf)
-    labels = F.transform("frames", lambda f: f["timestamp"])
-    user = F.concat(prompts.image_prefix(labels), prompts.request_prompt(F.col("procedure"), F.col("question")))
-    return m.select("sample_id", F.size("frames").cast("bigint").alias("num_frames"), F.sha2(user, 256).alias("user_digest"), F.char_length(user).cast("bigint").alias("user_chars"), F.coalesce("assistant_text", F.lit("")).alias("assistant_text"), F.coalesce("metadata.answer_format", F.lit("")).alias("answer_format"))
+    user = F.concat(prompts.image_prefix(prompts.absolute_labels(F.col("start_time"), F.col("times"))), prompts.request_prompt(F.col("procedure"), F.col("question")))
+    m = m.withColumn("user", user)
+    return m.select("sample_id", F.size("times").cast("bigint").alias("num_frames"), F.sha2("user", 256).alias("user_digest"), F.char_length("user").cast("bigint").alias("user_chars"), F.coalesce("assistant_text", F.lit("")).alias("assistant_text"), F.coalesce("metadata.answer_format", F.lit("")).alias("answer_format"))
 
 
 def split_counts(spark: SparkSession, sf: str) -> DataFrame:
