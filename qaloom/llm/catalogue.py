@@ -261,8 +261,29 @@ with v as (select distinct qid, {_VKEY} as vkey from request where {_VKEY} is no
 select vkey from train_sft join v using (qid) where {_LOW.format('split')} is not null
 group by vkey having count(distinct {_LOW.format('split')}) > 1"""
 
+_P7_FOUND = r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as x from documents where text is not null and doc_id is not null),
+ i as (select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as x from eval_item where text is not null and item_id is not null),
+ d as (select doc_id, unnest([array_to_string(x[k:k + 11], ' ') for k in range(1, len(x) - 10)]) as g from w where len(x) >= 12),
+ s as (select distinct item_id, unnest([array_to_string(x[k:k + 11], ' ') for k in range(1, len(x) - 10)]) as g from i where len(x) >= 12)
+select distinct doc_id, item_id from d join s using (g)"""
+
+# tokens are counted here as words and marks: any common count gives the same sources
+_P8_FOUND = rf"""
+with d as (select distinct doc_id, {_LOW.format('source')} as source, text from documents),
+ n as (select source, sum(coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')), 0)) as tokens from d group by source),
+ t as (select distinct {_LOW.format('source')} as source, target_pct, max_repeats, budget_pct from mix_target)
+select source from t left join n using (source) where source is not null and max_repeats * coalesce(tokens, 0) < target_pct / 100.0 * budget_pct / 100.0 * (select sum(tokens) from n)"""
+
+_P2_GROWTH = f"""
+with first as (select {_LOW.format('qid')} as qid, min(wave) as wave from request where {_LOW.format('qid')} is not null group by 1), sample as ({_p2_sql()})
+select wave, count(*) as n_questions, count(*) filter (where origin = 'kept') as n_kept, count(*) filter (where origin = 'drawn') as n_drawn from first left join sample using (qid) group by wave"""
+
 ORACLES = {
     "p2_sample": _p2_sql(),
+    "p2_growth": _P2_GROWTH,
+    "p7_found": _P7_FOUND,
+    "p8_found": _P8_FOUND,
     "p4_found": _P4_FOUND,
     "p5_plan": _p5_plan_sql() + "select field_name, category, available, all_records, wanted, available >= wanted as met from p",
     "p5_found": _p5_plan_sql() + "select distinct field_name, category from p where available < wanted",
