@@ -23,6 +23,7 @@ count once.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -204,6 +205,7 @@ class Restorer:
     """Restores one text after another; outcomes of runs met before are kept, up to a bound."""
 
     GAIN_SWAP = 2.0  # bits a pair by which a single-byte swap must improve a run
+    GAIN_LONE = 7.0  # the same if only lone letters and symbols would change
     LOSS_UTF8 = 3.0  # bits a pair that a valid multi-byte decoding of a whole run may lose
     KEPT = 200_000
 
@@ -234,7 +236,7 @@ class Restorer:
     def telling(around: str, k: int, new: str) -> bool:
         """Whether a swapped character is evidence: one inside a word, or one that stands alone and becomes a mark.
 
-        A lone symbol that would become a lone letter tells nothing, nor does a space.
+        A lone symbol that would become a lone letter tells little, a lone mark or space nothing.
         """
         if around[k].isspace():
             return False
@@ -266,14 +268,17 @@ class Restorer:
                     if (text := swapped(run, read, stored)) is None or text == run:
                         continue
                     changed = [k for k, (x, y) in enumerate(zip(run, text)) if x != y]
-                    around = before[-1:] or " ", run, after[:1] or " "
-                    if not any(self.telling("".join(around), k + 1, text[k]) for k in changed):
-                        continue
+                    around = "".join((before[-1:] or " ", run, after[:1] or " "))
+                    needed = self.GAIN_SWAP
+                    if not any(self.telling(around, k + 1, text[k]) for k in changed):
+                        if any(unicodedata.category(run[k])[0] in "PZ" for k in changed):
+                            continue
+                        needed = self.GAIN_LONE
                     shift = 1  # pairs p and p + 1 touch character p; before or the edge always stands at 0
                     touched = sorted({k + d for k in changed for d in (0, shift)})
                     now = self.model.of(text, before, after)[touched]
                     gain = float((now - was[touched]).mean())
-                    if gain >= self.GAIN_SWAP and float(now.min()) > (2.0 if gain < 5.0 else 0.0) and float(was[touched].mean()) < self.model.threshold:
+                    if gain >= needed and float(now.min()) > (2.0 if gain < 5.0 else 0.0) and float(was[touched].mean()) < self.model.threshold:
                         found.append((f"{stored} as {read}", text, gain))
         if len(self.known) < self.KEPT:
             self.known[key] = found
