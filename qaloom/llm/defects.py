@@ -60,10 +60,10 @@ REFUSALS = (
 )
 #: Words that vote for a language.  A word of several languages shares its vote among them.
 VOTES = {
-    "en": "the of and is are was were in on at to with that this it by for from which what when how who does did not no yes until while before after because although though since then than be been has have had its there their one nothing every any please between behind against beside during over under into out can could would why where many times share any all each more most same other upper lower corner picture gauze folded frame frames answer object foreign class bag and or as so if you your i my we our they he she nobody somebody something whose whom about around near next close middle centre center",
-    "de": "der die das den dem des ein eine einen einem einer und ist sind war waren wurde wurden wird mit von vom zu zum zur im in am auf aus bei nach vor für nicht kein keine keiner keines ja nein wie was wann wo wer welche welcher welches oder um ab bis dass weil während obwohl sobald davon jedoch nur noch einmal es sich über unter hinter neben zwischen oben unten links rechts mitte bild nadel netz bauchtuch bergebeutel gallenstein drainage silikonschlinge metallclip hämostyptikum präparat ich sie er wir ihr durch ohne gegen an danach dann zuletzt kaum gut bitte viele mal als auch wenn schon sehr objekt fremdkörper",
-    "fr": "le la les l un une des du de d et est sont était étaient au aux à dans sur sous par pour avec que qui quoi quand combien quelle quel quelles quels où ne pas non oui aucun aucune ce cette ces il elle ils elles on se s y en dès bien car selon entre contre puis rien hormis haut bas gauche droite milieu aiguille sac recueil compresse treillis calcul biliaire agent hémostatique drain externe boucle posé objet corps étranger étrangers je tu nous vous mais donc ou plus très près derrière côté c qu n m a été avait pièce image",
-    "es": "el la los las un una unos unas de del y e es son era al en por para con sin que qué quién cuándo cuánto cuántos cuántas cómo dónde no sí ninguno ninguna se su sus lo está están fue según entre sobre bajo hasta desde pero muy ya arriba abajo izquierda derecha centro aguja gasa malla bolsa extracción cálculo biliar agente hemostático drenaje lazo silicona pieza extirpada colocado objeto cuerpo extraño extraños yo como más o nada salvo durante antes después al hay unos esta este imagen",
+    "en": "the of and is are was were in on at to with that this it by for from which what when how who does did not no yes until while before after because although though since then than be been has have had its there their one nothing every any please between behind against beside during over under into out can could would why where many times share any all each more most same other upper lower corner picture gauze folded frame frames answer object foreign class bag and or as so if you your i my we our they he she nobody somebody something whose whom about around near next close middle centre center first second several few seconds minutes seen shown found taken they them these those such very only just still",
+    "de": "der die das den dem des ein eine einen einem einer und ist sind war waren wurde wurden wird mit von vom zu zum zur im in am auf aus bei nach vor für nicht kein keine keiner keines ja nein wie was wann wo wer welche welcher welches oder um ab bis dass weil während obwohl sobald davon jedoch nur noch einmal es sich über unter hinter neben zwischen oben unten links rechts mitte bild nadel netz bauchtuch bergebeutel gallenstein drainage silikonschlinge metallclip hämostyptikum präparat ich sie er wir ihr durch ohne gegen an danach dann zuletzt kaum gut bitte viele mal als auch wenn schon sehr objekt fremdkörper dieser diese dieses man mehr weniger seit trotz statt etwa rund sowie damit dabei dort hier sekunden minuten zweite erste lag bleibt",
+    "fr": "le la les l un une des du de d et est sont était étaient au aux à dans sur sous par pour avec que qui quoi quand combien quelle quel quelles quels où ne pas non oui aucun aucune ce cette ces il elle ils elles on se s y en dès bien car selon entre contre puis rien hormis haut bas gauche droite milieu aiguille sac recueil compresse treillis calcul biliaire agent hémostatique drain externe boucle posé objet corps étranger étrangers je tu nous vous mais donc ou plus très près derrière côté c qu n m a été avait pièce image pendant demande avant après lors comme tout tous toute fait toujours encore aussi leur leurs chez sans vers depuis jusque quelques environ secondes seconde premier première table bien reste trop peu",
+    "es": "el la los las un una unos unas de del y e es son era al en por para con sin que qué quién cuándo cuánto cuántos cuántas cómo dónde no sí ninguno ninguna se su sus lo está están fue según entre sobre bajo hasta desde pero muy ya arriba abajo izquierda derecha centro aguja gasa malla bolsa extracción cálculo biliar agente hemostático drenaje lazo silicona pieza extirpada colocado objeto cuerpo extraño extraños yo como más o nada salvo durante antes después al hay unos esta este mientras pide aunque porque cuando donde sino tras cada todo todos toda otra otro algunos segundos segunda primera primero mesa sigue queda imagen",
 }
 #: Letters that only one of the languages uses.
 LETTER_VOTES = {"ß": "de", "ä": "de", "ö": "de", "ñ": "es", "¿": "es", "¡": "es", "ç": "fr", "œ": "fr", "ê": "fr", "è": "fr", "ù": "fr", "û": "fr", "î": "fr", "ô": "fr", "ó": "es", "í": "es", "á": "es", "ú": "es"}
@@ -261,8 +261,8 @@ def votes(text: str) -> list[float]:
 @lru_cache(50_000)
 def _question_language(shape: str) -> int:
     v = votes(shape)
-    best = max(v)
-    return v.index(best) if best > 0 and v.count(best) == 1 else -1
+    second, best = sorted(v)[-2:]
+    return v.index(best) if best > 1.3 * second else -1
 
 
 def other_language(answer: str, question: str) -> bool:
