@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower, word_text
+from qaloom.operators.lineage import cut
 
 SEGMENT = 5  # words; shorter for short texts, see segment_length
 
@@ -201,7 +202,8 @@ def _chosen(offered: DataFrame, training: DataFrame, per: int) -> DataFrame:
 
 def near_pairs(classes_: DataFrame, per: int = 10) -> DataFrame:
     """(class_train, class_eval, edits): pairs of classes with the same answer whose texts are within a tenth of edits."""
-    sides = classes_.groupBy("side", "class").agg(F.first("answer_hash").alias("answer_hash"), F.first("words").alias("words"))
+    # a class has one answer and one text, so any row's will do; written once, as seven branches read them
+    sides = cut(classes_.groupBy("side", "class").agg(F.first("answer_hash").alias("answer_hash"), F.first("words").alias("words")))
     train, held = sides.where("side = 0").drop("side"), sides.where("side = 1").drop("side")
     equal = train.select(F.col("class").alias("class_train")).join(held.select(F.col("class").alias("class_eval")), F.col("class_train") == F.col("class_eval")).withColumn("edits", F.lit(0).cast("bigint"))
 
