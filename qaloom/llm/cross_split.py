@@ -184,17 +184,17 @@ def _chosen(offered: DataFrame, training: DataFrame, per: int) -> DataFrame:
     counts = training.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     known = offered.join(counts, "gram", "left").select("class", F.struct("at", "gram", F.coalesce("df", F.lit(0)).alias("df")).alias("g"), "n")
     per_text = known.groupBy("class", "n").agg(F.sort_array(F.collect_list("g")).alias("g"))  # as many entries as the text has words
+    per_text = per_text.select("class", "n", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"))  # plain arrays cross to Python as vectors
 
     def work(batches):
         for batch in batches:
             rows = []
-            for c, n, g in zip(batch["class"], batch["n"], batch["g"]):
+            for c, n, gram, cost in zip(batch["class"], batch["n"], batch["gram"], batch["df"]):
                 n = int(n)
-                cost = np.array([x["df"] for x in g], dtype=np.int64)
                 size = segment_length(n, per)
                 for s in rarest_segments(cost, size, most_edits(n, per) + 1):
                     if cost[s]:
-                        rows.append((int(g[s]["gram"]), int(c), s, n))
+                        rows.append((int(gram[s]), int(c), s, n))
             yield pd.DataFrame(rows, columns=["gram", "class", "at", "n"])
 
     return per_text.mapInPandas(work, "gram long, class long, at int, n int")
@@ -243,7 +243,7 @@ def near_pairs(classes_: DataFrame, per: int = 10) -> DataFrame:
 
 def cross_split_overlaps(records: DataFrame, record_id: str = "sample_id", split: str = "split", text: str = "user_text", answer: str = "assistant_text", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), per: int = 10) -> DataFrame:
     """(train_id, eval_id, eval_split, edits): all pairs of records, one of training and one of an evaluation split."""
-    rows = classes(records, record_id, split, text, answer, train, evaluation)
+    rows = cut(classes(records, record_id, split, text, answer, train, evaluation))  # words are found once
     members = rows.select("id", "split", "side", "class").distinct()
     a = members.where("side = 0").select(F.col("id").alias("train_id"), F.col("class").alias("class_train"))
     b = members.where("side = 1").select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("class").alias("class_eval"))
