@@ -82,3 +82,20 @@ def resolved_names(text: Column, fallback: Column, hyphens: int = 1) -> Column:
     """Names from the definitions, or else the fallback."""
     found = headings(F.coalesce(text, F.lit("")), hyphens)
     return F.when(F.size(found) > 0, found).otherwise(fallback)
+
+
+def format_valid(text: Column, form: Column, names: Column) -> Column:
+    """Whether an answer can be read in its declared format; open formats take any text that isn't blank."""
+    c = without_end_marks(text)
+    k = kind(text, names)
+    layout = c.rlike(r"(?i)\A(?:\d+\.\s*[a-z ]+:\s*(?:top|bottom)/(?:left|right)\s*)+\z")
+    known = (
+        F.when(form == "yesno", k == "binary")
+        .when(form == "count", k == "count")
+        .when(form == "percent", c.rlike(r"\A\d+(?:\.\d+)?\s*%\z"))
+        .when(form == "time", k == "time")
+        .when(form == "cls", (k == "none") | ((k == "classes") & (F.size(items(c)) == 1)))
+        .when(form == "clslist", k.isin("none", "classes"))
+        .when(form == "layout", layout)
+    )
+    return F.coalesce(known, k != "blank") & (k != "blank")

@@ -106,3 +106,28 @@ def sample_rules() -> dict[str, Column]:
         "malformed_label": ~F.forall("frame_labels", lambda x: x.rlike(r"\A\d{2,}:[0-5]\d:[0-5]\d\z")),
         "repeated_image": F.size(F.array_distinct("images")) != F.size("images"),
     }
+
+
+def manifest_rules(times: str = "times", most: int = 32) -> dict[str, Column]:
+    """Rules of a planned manifest row: times (array<double>), start_time, end_time, candidate_count."""
+    t = F.col(times)
+    return {
+        "no_frames": F.size(t) == 0,
+        "too_many_frames": F.size(t) > most,
+        "first_not_at_start": F.get(t, 0) != 0.0,
+        "times_not_increasing": ~increasing(t),
+        "beyond_window": F.exists(t, lambda x: x > 0) & (F.element_at(t, -1) >= F.col("end_time") - F.col("start_time")),
+        "wrong_candidate_count": F.col("candidate_count") != F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("end_time") - F.col("start_time") - 1e-9).cast("bigint")),
+    }
+
+
+def missing_files(paths: DataFrame, path: str, files: DataFrame, file: str = "path", length: str = "length") -> DataFrame:
+    """Paths that no non-empty file has; also what a cache still has to make."""
+    present = files.where(F.col(length) > 0).select(F.col(file).alias("key"))
+    return paths.select(F.col(path).alias("key")).where("key is not null").distinct().join(present, "key", "left_anti").select(F.lit("missing_file").alias("rule"), "key", F.lit("").alias("detail"))
+
+
+def adapter_rules(required: list[str], uses: str = "use_dora", targets: str = "target_modules") -> dict[str, Column]:
+    """Rules of an adapter's configuration: the method is on, and all required modules are targets."""
+    lacking = F.array_except(F.array(*map(F.lit, required)), F.coalesce(targets, F.array().cast("array<string>")))
+    return {"method_off": ~F.coalesce(F.col(uses), F.lit(False)), "target_missing": F.size(lacking) > 0}

@@ -43,3 +43,8 @@ def first_groups(rows: DataFrame, parts: list[str], group: str, most: int) -> Da
 def chunked(rows: DataFrame, part: str, order: list[str | Column], size: int) -> DataFrame:
     """Adds ``chunk``: groups of ``size`` rows of a part, in order."""
     return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1) / size).cast("bigint"))
+
+
+def seeded_order(key: str, seed: int, epoch: int = 0) -> Column:
+    """A sort key that shuffles rows by seed and epoch, the same for every layout."""
+    return F.md5(F.concat_ws(":", F.col(key), F.lit(str(seed + epoch))))

@@ -70,3 +70,22 @@ def decoded(jobs: DataFrame, decode: Callable[[str, list[int]], list[bytes]], vi
         return pd.DataFrame({"video": group[video].iloc[0], "source_index": wanted, "image": decode(group[video].iloc[0], wanted)})
 
     return jobs.select(video, "batch", index).groupBy(video, "batch").applyInPandas(work, "video string, source_index long, image binary")
+
+
+def inspected(videos: DataFrame, inspect: Callable[[str], tuple[float, int]], video: str = "video") -> DataFrame:
+    """(video, fps, total_frames, duration_s, error): each video opened once, whatever fails stays with its row."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name in batch[video]:
+                try:
+                    fps, frames = inspect(name)
+                    if fps <= 0 or frames <= 0:
+                        raise ValueError(f"rate {fps}, frames {frames}")
+                    rows.append((name, float(fps), int(frames), frames / fps, ""))
+                except Exception as e:  # noqa: BLE001 - a failure belongs to its row
+                    rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["video", "fps", "total_frames", "duration_s", "error"]).astype({"total_frames": "Int64"})
+
+    return videos.select(video).where(f"{video} is not null").distinct().mapInPandas(work, "video string, fps double, total_frames long, duration_s double, error string")

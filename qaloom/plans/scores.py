@@ -108,7 +108,7 @@ def video_resolve(spark: SparkSession, sf: str) -> DataFrame:
 def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A thousand questions in a seeded order that no layout changes."""
     r = v.table(spark, sf, "request").select("qid").where("qid is not null").distinct()
-    return r.select("qid", F.xxhash64("qid", F.lit(50)).alias("place")).orderBy("place", "qid").limit(1000)
+    return r.select("qid", lookup.seeded_order("qid", 50).alias("place")).orderBy("place", "qid").limit(1000)
 
 
 QUERIES = {
@@ -150,4 +150,5 @@ ORACLES = {
  select videoid, coalesce(f.f, f_case, case when n_prefix = 1 then f_prefix end) as file, case when f.f is not null then 'exact' when f_case is not null then 'case' when n_prefix = 1 then 'prefix' when n_prefix > 1 then 'ambiguous' else 'missing' end as how
  from n left join f on f.f = videoid left join c on c.k = lower(videoid) left join p on p.k = nullif(regexp_extract(videoid, '^(\d{{4}})\b', 1), '')""",
 }
+ORACLES["seeded_sample"] = "select qid, md5(qid || ':50') as place from (select distinct qid from request where qid is not null) order by place, qid limit 1000"
 ORACLES = v.with_white_space(ORACLES)

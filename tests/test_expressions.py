@@ -130,3 +130,15 @@ def test_procedure_router(spark):
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(PROCEDURE)], "question string, want string, i int")
     for r in with_procedure_intent(df).collect():
         assert r["intent"] == r["want"], r
+
+
+FORMATS = [
+    ("Yes.", "yesno", True), ("maybe", "yesno", False), ("12", "count", True), ("12%", "count", False), ("12 %", "percent", True), ("12", "percent", False), ("00:01:02", "time", True), ("0:1:2", "time", False), ("Clip", "cls", True), ("Clip, Mesh", "cls", False), ("none", "cls", True),
+    ("Clip, Mesh", "clslist", True), ("Clip, thing", "clslist", False), ("1. Clip: top/left 2. Mesh: bottom/right", "layout", True), ("Clip top", "layout", False), ("anything", "open", True), ("  ", "open", False), ("x", None, True), (None, "open", False),
+]
+
+
+@pytest.mark.parametrize("answer, form, want", FORMATS)
+def test_formats(spark, answer, form, want):
+    got = one(spark, answers.format_valid(F.lit(answer).cast("string"), F.lit(form).cast("string"), answers.class_names()))
+    assert bool(got) == want

@@ -107,3 +107,36 @@ def test_checkpoint_folder_of_the_session(spark, tmp_path):
     before = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     assert cut(spark.range(5)).count() == 5
     assert spark.sparkContext._jsc.sc().getCheckpointDir().get() == before
+
+
+def test_manifest_rules(spark):
+    good = ("a", 10.0, 12.5, [0.0, 1.0, 2.0], 3)
+    bad = [("b", 0.0, 5.0, [1.0, 1.0], 5), ("c", 0.0, 1.0, [0.0, 1.0], 1), ("d", 0.0, 2.0, [0.0], 7), ("e", 0.0, 2.0, [], 2)]
+    df = spark.createDataFrame([good, *bad], "k string, start_time double, end_time double, times array<double>, candidate_count long")
+    got = rows(contracts.broken(df, F.col("k"), contracts.manifest_rules(most=2)), "key", "rule")
+    assert got == [("a", "too_many_frames"), ("b", "first_not_at_start"), ("b", "times_not_increasing"), ("c", "beyond_window"), ("d", "wrong_candidate_count"), ("e", "no_frames")]
+
+
+def test_missing_files_and_adapters(spark):
+    paths = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "p string")
+    files = spark.createDataFrame([("a", 5), ("b", 0)], "path string, length long")
+    assert rows(contracts.missing_files(paths, "p", files), "key") == [("b",), ("c",)]
+    conf = spark.createDataFrame([("x", True, ["q", "v", "o"]), ("y", False, ["q"]), ("z", None, None)], "k string, use_dora boolean, target_modules array<string>")
+    assert rows(contracts.broken(conf, F.col("k"), contracts.adapter_rules(["q", "v"])), "key", "rule") == [("y", "method_off"), ("y", "target_missing"), ("z", "method_off"), ("z", "target_missing")]
+
+
+def test_inspection_keeps_failures(spark):
+    def inspect(name):
+        if name == "bad":
+            raise OSError("unreadable")
+        return (25.0, 50) if name == "ok" else (0.0, 1)
+
+    df = spark.createDataFrame([("ok",), ("ok",), ("bad",), ("zero",), (None,)], "video string")
+    got = {r["video"]: (r["duration_s"], r["error"].split(":")[0]) for r in providers.inspected(df, inspect).collect()}
+    assert got == {"ok": (2.0, ""), "bad": (None, "OSError"), "zero": (None, "ValueError")}
+
+
+def test_seeded_orders(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("k"))
+    order = lambda d, s, e: [r["k"] for r in d.orderBy(lookup.seeded_order("k", s, e), "k").collect()]
+    assert order(df, 50, 0) == order(df.repartition(7), 50, 0) != order(df, 50, 1) == order(df, 51, 0)
