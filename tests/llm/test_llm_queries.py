@@ -12,7 +12,7 @@ def test_runs(spark, sf, name):
     rows = df.collect()
     if name in catalogue.ORACLES:
         con = duckdb.connect()
-        for t in ("request", "responses", "train_sft", "selected_qids", "detailed_results", "documents", "sample_target", "mix_target"):
+        for t in ("request", "responses", "train_sft", "selected_qids", "detailed_results", "documents", "sample_target", "mix_target", "eval_item"):
             con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
         want = con.sql(catalogue.ORACLES[name])
         key = lambda rows, columns: sorted(str([r[columns.index(c)] for c in sorted(columns)]) for r in rows)
