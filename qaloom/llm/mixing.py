@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower
+from qaloom.operators.lineage import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_TARGETS = 10_000
@@ -67,7 +68,7 @@ def mixing_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     ``short``: even with all repeats the source has fewer tokens than its share.
     """
     t = targets.select(trimmed_lower(F.col("source")).alias("source"), "target_pct", "max_repeats", "budget_pct").where("source is not null").distinct()
-    per = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    per = cut(counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))  # a row a source, read twice
     everything = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     plan = t.join(per, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).crossJoin(F.broadcast(everything))  # one row
     plan = plan.withColumn("wanted", F.col("target_pct") * F.col("budget_pct") * F.col("all_tokens") / 10000).withColumn("reachable", F.col("max_repeats") * F.col("tokens"))
