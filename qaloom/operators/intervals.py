@@ -33,30 +33,31 @@ def sweep(intervals: DataFrame, key: str, start: str, end: str, chunk_ms: int =
     empty table gives no rows.  Extra columns are ignored.
     """
     sound = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
-    events = _events(sound, key, start, end).withColumn("chunk", F.floor(F.col("at") / F.lit(chunk_ms)).cast("bigint"))
+    # the joins below imply these filters on one side only; stated for both, the sides stay alike and share their exchange
+    events = _events(sound, key, start, end).withColumn("chunk", F.floor(F.col("at") / F.lit(chunk_ms)).cast("bigint")).where("key is not null and chunk is not null")
 
-    per_chunk = Window.partitionBy("key", "chunk").orderBy("at")
-    so_far = F.sum(F.col("opens") - F.col("closes")).over(per_chunk)
-    local = events.withColumn("after_local", so_far).withColumn("before_local", F.col("after_local") - F.col("opens") + F.col("closes"))
+    # All of a chunk's figures come from windows over (key, chunk), so both branches of each join below start from one exchange.
+    ordered, whole_chunk = Window.partitionBy("key", "chunk").orderBy("at"), Window.partitionBy("key", "chunk")
+    step = F.col("opens") - F.col("closes")
+    local = events.withColumn("after_local", F.sum(step).over(ordered)).withColumn("first_at", F.min("at").over(whole_chunk)).withColumn("net", F.sum(step).over(whole_chunk))
 
     # one row for each chunk that has events; the carry is a prefix sum over those few rows
     over_chunks = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = events.groupBy("key", "chunk").agg(F.sum(F.col("opens") - F.col("closes")).alias("net")).select("key", "chunk", F.coalesce(F.sum("net").over(over_chunks), F.lit(0)).alias("carried"))
-    open_at = local.join(carry, ["key", "chunk"]).select("key", "chunk", "at", "opens", (F.col("before_local") + F.col("carried")).alias("before"), (F.col("after_local") + F.col("carried")).alias("after"))
+    carry = local.where("at = first_at").select("key", "chunk", F.coalesce(F.sum("net").over(over_chunks), F.lit(0)).alias("carried"))
+    after = F.col("after_local") + F.col("carried")
+    open_at = local.join(carry, ["key", "chunk"]).select("key", "chunk", "at", "opens", (after - step).alias("before"), after.alias("after"))
 
     begins: Column = (F.col("before") == 0) & (F.col("opens") > 0)
     ends: Column = (F.col("after") == 0) & ((F.col("before") > 0) | (F.col("opens") > 0))
     edges = open_at.where(begins | ends).select("key", "chunk", "at", begins.alias("begins"), ends.alias("ends"))
 
-    # start of the period that an end closes, and end of the period before a start
-    first_to_here = Window.partitionBy("key", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before_here = Window.partitionBy("key", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    start_here = F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(first_to_here)
-    end_here = F.last(F.when(F.col("ends"), F.col("at")), ignorenulls=True).over(before_here)
-    known = edges.withColumn("start_here", start_here).withColumn("end_here", end_here)
-    tails = edges.groupBy("key", "chunk").agg(F.max(F.when(F.col("begins"), F.col("at"))).alias("s"), F.max(F.when(F.col("ends"), F.col("at"))).alias("e"))
-    tails = tails.select("key", "chunk", F.last("s", ignorenulls=True).over(over_chunks).alias("start_before"), F.last("e", ignorenulls=True).over(over_chunks).alias("end_before"))
-    whole = known.join(tails, ["key", "chunk"])
+    # start of the period that an end closes, and end of the period before a start: in this chunk, or the last of the chunks before
+    begin_at, end_at = F.when(F.col("begins"), F.col("at")), F.when(F.col("ends"), F.col("at"))
+    to_here, before_here = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow), ordered.rowsBetween(Window.unboundedPreceding, -1)
+    known = edges.withColumn("start_here", F.last(begin_at, ignorenulls=True).over(to_here)).withColumn("end_here", F.last(end_at, ignorenulls=True).over(before_here))
+    known = known.withColumn("first_at", F.min("at").over(whole_chunk)).withColumn("last_start", F.max(begin_at).over(whole_chunk)).withColumn("last_end", F.max(end_at).over(whole_chunk))
+    tails = known.where("at = first_at").select("key", "chunk", F.last("last_start", ignorenulls=True).over(over_chunks).alias("start_before"), F.last("last_end", ignorenulls=True).over(over_chunks).alias("end_before"))
+    whole = known.select("key", "chunk", "at", "begins", "ends", "start_here", "end_here").join(tails, ["key", "chunk"])
 
     period = F.when(F.col("ends"), F.struct(F.lit("period").alias("kind"), F.coalesce("start_here", "start_before").alias("start_ms"), F.col("at").alias("end_ms")))
     before = F.coalesce("end_here", "end_before")
@@ -66,11 +67,15 @@ def sweep(intervals: DataFrame, key: str, start: str, end: str, chunk_ms: int =
 
 
 def request_windows(requests: DataFrame) -> DataFrame:
-    """(vkey, start_ms, end_ms): windows that count, in whole milliseconds, each once."""
+    """(vkey, start_ms, end_ms): windows that count, in whole milliseconds.
+
+    Repeated windows stay: to a sweep they open and close together, so making
+    them unique would only cost an exchange.
+    """
     from qaloom.functions.text import vkey
 
     start, end = F.col("start_time"), F.col("end_time")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     sound = requests.where(finite(start) & finite(end) & (end > start))
     rows = sound.select(vkey(F.col("videoid")).alias("vkey"), F.round(start * 1000).cast("bigint").alias("start_ms"), F.round(end * 1000).cast("bigint").alias("end_ms"))
-    return rows.where("vkey is not null").distinct()
+    return rows.where("vkey is not null")
