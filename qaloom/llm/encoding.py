@@ -101,26 +101,48 @@ class PairModel:
         return self.bits[kinds[:-1], kinds[1:]]
 
 
-def maximal_segments(score: np.ndarray) -> list[tuple[int, int]]:
-    """All maximum-scoring segments [i, j) of a sequence, disjoint, in order.
+def maximal_segments(score: np.ndarray, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """All maximum-scoring segments [i, j) of a sequence, disjoint, in order; only those near wanted positions if given.
 
-    Stretches of one sign are merged first, so the stack works on few blocks.
+    Stretches of one sign are merged to blocks first.  A segment can't cross a
+    negative block that outweighs the best that ends before it or the best that
+    starts after it, so the sequence falls into groups of few blocks; only
+    groups of several blocks need the stack of candidates.
     """
-    if not len(score):
+    sign = np.concatenate(([False], score > 0, [False]))
+    edge = np.flatnonzero(sign[1:] != sign[:-1])
+    start, end = edge[::2], edge[1::2]  # of the positive blocks
+    if not len(start):
         return []
-    sign = score > 0
-    cut = np.flatnonzero(np.diff(sign)) + 1
-    start = np.concatenate(([0], cut))
-    end = np.concatenate((cut, [len(score)]))
-    sums = np.add.reduceat(score, start)
-    found: list[list[float]] = []  # first, last, total before, total after
-    running = 0.0
-    for a, b, x in zip(start.tolist(), end.tolist(), sums.tolist()):
-        if x <= 0:
-            running += x
-            continue
-        item = [a, b, running, running + x]
-        running += x
+    total = np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
+    plus, minus = total[end] - total[start], total[end[:-1]] - total[start[1:]]  # sums of blocks, weights of the gaps between
+    before, after = plus.copy(), plus.copy()  # best sums that end with a block, and that start with one
+    for best, own, gap, last in ((before[1:], plus[1:], minus, before[:-1]), (after[:-1], plus[:-1], minus, after[1:])):
+        while True:
+            new = own + np.maximum(0.0, last - gap)
+            if np.array_equal(new, best):
+                break
+            best[:] = new
+    cut = np.flatnonzero((minus >= before[:-1]) | (minus >= after[1:])) + 1
+    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(start)]))
+    if wanted is not None:
+        seen = np.concatenate(([0], np.cumsum(wanted)))
+        near = seen[end[last - 1]] > seen[start[first]]
+        first, last = first[near], last[near]
+    out: list[tuple[int, int]] = []
+    for f, n in zip(first.tolist(), last.tolist()):
+        if n == f + 1:
+            out.append((int(start[f]), int(end[f])))
+        else:
+            out += _stacked(start[f:n].tolist(), end[f:n].tolist(), total)
+    return out
+
+
+def _stacked(start: list[int], end: list[int], total: np.ndarray) -> list[tuple[int, int]]:
+    """Maximum-scoring segments made of the given positive blocks; total: sums before each position."""
+    found: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    for a, b in zip(start, end):
+        item = (a, b, float(total[a]), float(total[b]))
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= item[2]:
@@ -128,9 +150,9 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int]]:
             if j < 0 or found[j][3] >= item[3]:
                 found.append(item)
                 break
-            item = [found[j][0], item[1], found[j][2], item[3]]
+            item = (found[j][0], item[1], found[j][2], item[3])
             del found[j:]
-    return [(int(a), int(b)) for a, b, _, _ in found]
+    return [(a, b) for a, b, _, _ in found]
 
 
 # --- inverse mappings ------------------------------------------------------
@@ -215,12 +237,17 @@ class Restorer:
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Character spans of the improbable runs that hold a character beyond ASCII."""
-        kinds = class_table()[points(text)].astype(np.int64)
-        kinds = np.concatenate(([EDGE], kinds, [EDGE]))
+        own = points(text)
+        kinds = np.concatenate(([EDGE], class_table()[own].astype(np.int64), [EDGE]))
         score = self.model.threshold - self.model.bits[kinds[:-1], kinds[1:]]
-        high = np.concatenate(([0], np.cumsum(points(text) > 0x7F)))
+        beyond = own > 0x7F
+        high = np.concatenate(([0], np.cumsum(beyond)))
+        wanted = np.zeros(len(own) + 1, dtype=bool)  # pair p is of the characters p - 1 and p; one more on either side, as runs grow
+        for shift in (-1, 0, 1, 2):
+            at = np.flatnonzero(beyond) + shift
+            wanted[at[(at >= 0) & (at <= len(own))]] = True
         spans: list[tuple[int, int]] = []
-        for i, j in maximal_segments(score):  # pair p is of the characters p - 1 and p
+        for i, j in maximal_segments(score, wanted):
             a, b = max(i - 1, 0), min(j, len(text))
             while a > 0 and text[a - 1] > "\x7f":  # a run ends where its high characters do
                 a -= 1

@@ -92,3 +92,14 @@ def test_frame(spark):
     got = {r["doc_id"]: r for r in e.restore_encoding(df).collect()}
     assert set(got) == {90_001, 90_004} and got[90_001]["restored"] == FRENCH and got[90_004]["lost"] == 5000
     assert e.restore_encoding(df.limit(0)).count() == 0
+
+
+def test_segments_near_wanted_positions():
+    rng = random.Random(5)
+    for _ in range(200):
+        score = np.array([rng.choice([-4, -2, -1, 1, 2, 3]) + rng.random() / 100 for _ in range(80)])
+        wanted = np.zeros(80, dtype=bool)
+        wanted[rng.sample(range(80), 3)] = True
+        everything, near = e.maximal_segments(score), e.maximal_segments(score, wanted)
+        assert set(near) <= set(everything)
+        assert {s for s in everything if wanted[s[0] : s[1]].any()} <= set(near)
