@@ -32,6 +32,7 @@ from qaloom.functions.text import trimmed_lower, word_text
 from qaloom.operators.lineage import cut
 
 SEGMENT = 5  # words; shorter for short texts, see segment_length
+STRETCH = 1000  # words that segments are chosen in together
 
 
 def edits_allowed(n: int, m: int, per: int = 10) -> int:
@@ -89,26 +90,37 @@ def gram_hashes(numbers: np.ndarray, size: int, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def rarest_segments(cost: np.ndarray, size: int, number: int) -> list[int]:
-    """Starts of ``number`` disjoint windows of ``size`` with the least total cost."""
-    n = len(cost) + size - 1
+def rarest_segments(costs: np.ndarray, size: int, number: int) -> np.ndarray:
+    """Mask of ``number`` disjoint windows of ``size`` with the least total cost, in each row of ``costs``.
+
+    Dynamic programming from the end, all rows at once.  Rows longer than
+    ``STRETCH`` are cut into stretches with their share of the windows each: the
+    windows stay disjoint and as many, only their choice is made stretch by stretch.
+    """
+    rows, n = costs.shape
+    if n > 2 * STRETCH:
+        mask = np.zeros(costs.shape, dtype=bool)
+        bounds = np.linspace(0, n + size - 1, (n + size - 1) // STRETCH + 1).astype(int)
+        shares = bounds * number // (n + size - 1)
+        for i, j, k in zip(bounds, bounds[1:], np.diff(shares)):
+            mask[:, i : j - size + 1] = rarest_segments(costs[:, i : j - size + 1], size, int(k))
+        return mask
     far = np.iinfo(np.int64).max // 4
-    best = np.full((n + size + 1, number + 1), far, dtype=np.int64)
-    best[:, 0] = 0
-    take = np.zeros((n + 1, number + 1), dtype=bool)
-    for i in range(len(cost) - 1, -1, -1):
-        with_it = best[i + size, :-1] + cost[i]
-        take[i, 1:] = with_it < best[i + 1, 1:]
-        best[i, 1:] = np.where(take[i, 1:], with_it, best[i + 1, 1:])
-    starts, i, left = [], 0, number
-    while left and i <= n:
-        if take[i, left]:
-            starts.append(i)
-            i += size
-            left -= 1
-        else:
-            i += 1
-    return starts
+    best = np.full((n + size + 1, rows, number + 1), far, dtype=np.int64)
+    best[:, :, 0] = 0
+    take = np.zeros((n, rows, number + 1), dtype=bool)
+    for i in range(n - 1, -1, -1):
+        with_it = best[i + size, :, :-1] + costs[:, i, None]
+        np.less(with_it, best[i + 1, :, 1:], out=take[i, :, 1:])
+        np.minimum(with_it, best[i + 1, :, 1:], out=best[i, :, 1:])
+    mask = np.zeros((rows, n), dtype=bool)
+    free, left, row = np.zeros(rows, dtype=np.int64), np.full(rows, number), np.arange(rows)
+    for i in range(n):
+        now = (free <= i) & take[i, row, left]
+        mask[now, i] = True
+        free[now] = i + size
+        left[now] -= 1
+    return mask
 
 
 def within_edits(left: list[np.ndarray], right: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
@@ -188,14 +200,14 @@ def _chosen(offered: DataFrame, training: DataFrame, per: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            rows = []
-            for c, n, gram, cost in zip(batch["class"], batch["n"], batch["gram"], batch["df"]):
+            for n, same in batch.groupby("n"):  # texts of one length are worked on together
                 n = int(n)
-                size = segment_length(n, per)
-                for s in rarest_segments(cost, size, most_edits(n, per) + 1):
-                    if cost[s]:
-                        rows.append((int(gram[s]), int(c), s, n))
-            yield pd.DataFrame(rows, columns=["gram", "class", "at", "n"])
+                size, number = segment_length(n, per), most_edits(n, per) + 1
+                for i in range(0, len(same), max(1, 2_000_000 // (n * (number + 1)))):
+                    some = same.iloc[i : i + max(1, 2_000_000 // (n * (number + 1)))]
+                    costs, grams = np.stack(some["df"].to_numpy()).astype(np.int64), np.stack(some["gram"].to_numpy())
+                    row, at = np.nonzero(rarest_segments(costs, size, number) & (costs > 0))
+                    yield pd.DataFrame({"gram": grams[row, at], "class": some["class"].to_numpy()[row], "at": at.astype(np.int32), "n": np.full(len(at), n, dtype=np.int32)})
 
     return per_text.mapInPandas(work, "gram long, class long, at int, n int")
 

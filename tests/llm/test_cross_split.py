@@ -40,10 +40,28 @@ def test_enough_segments_fit(n):
     assert all(c.edits_allowed(n, m) <= k for m in range(0, 2 * n + 3) if abs(n - m) <= c.edits_allowed(n, m))
     if k:
         assert g >= 1 and n // g >= k + 1
-        starts = c.rarest_segments(np.arange(n - g + 1), g, k + 1)
+        starts = np.flatnonzero(c.rarest_segments(np.arange(n - g + 1)[None, :], g, k + 1)[0]).tolist()
         assert len(starts) == k + 1 and all(y - x >= g for x, y in zip(starts, starts[1:]))
 
 
+def test_choice_is_the_cheapest():
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    costs = rng.integers(0, 20, (30, 13))
+    mask = c.rarest_segments(costs, 3, 4)
+    for row, m in zip(costs, mask):
+        best = min(sum(row[list(x)]) for x in combinations(range(13), 4) if all(b - a >= 3 for a, b in zip(x, x[1:])))
+        assert m.sum() == 4 and row[m].sum() == best and (np.diff(np.flatnonzero(m)) >= 3).all()
+
+
+@pytest.mark.parametrize("n", [1999, 2004, 2005, 2010, 7777, 100_000])
+def test_long_texts_are_cut_into_stretches(n):
+    k, g = c.most_edits(n), c.segment_length(n)
+    starts = np.flatnonzero(c.rarest_segments(np.random.default_rng(1).integers(0, 9, (1, n - g + 1)), g, k + 1)[0])
+    assert len(starts) == k + 1 and (np.diff(starts) >= g).all() and starts[-1] + g <= n
+
+
 def rows_with_edits(seed=5, n=60):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(12)]  # few words, so that segments are hot
