@@ -214,14 +214,13 @@ def _chosen(offered: DataFrame, training: DataFrame, per: int) -> DataFrame:
 
 def near_pairs(classes_: DataFrame, per: int = 10) -> DataFrame:
     """(class_train, class_eval, edits): pairs of classes with the same answer whose texts are within a tenth of edits."""
-    # a class has one answer and one text, so any row's will do; written once, as seven branches read them
-    sides = cut(classes_.groupBy("side", "class").agg(F.first("answer_hash").alias("answer_hash"), F.first("words").alias("words")))
+    # only answers that both sides have can meet
+    answers = classes_.groupBy("answer_hash").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("answer_hash")
+    # a class has one answer and one text, so any row's will do; written once, as many branches read them
+    sides = classes_.join(answers, "answer_hash", "left_semi").groupBy("side", "class").agg(F.first("answer_hash").alias("answer_hash"), F.first("words").alias("words"))
+    sides = cut(sides)
     train, held = sides.where("side = 0").drop("side"), sides.where("side = 1").drop("side")
     equal = train.select(F.col("class").alias("class_train")).join(held.select(F.col("class").alias("class_eval")), F.col("class_train") == F.col("class_eval")).withColumn("edits", F.lit(0).cast("bigint"))
-
-    # only answers that both sides have can meet
-    answers = lambda s: s.select("answer_hash").distinct()
-    train, held = train.join(answers(held), "answer_hash", "left_semi"), held.join(answers(train), "answer_hash", "left_semi")
     offered = _grams(train, True, per)
     chosen = _chosen(_grams(held, False, per), offered, per)
     a, b = offered.alias("a"), chosen.alias("b")
