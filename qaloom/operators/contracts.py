@@ -127,7 +127,7 @@ def missing_files(paths: DataFrame, path: str, files: DataFrame, file: str = "pa
     return paths.select(F.col(path).alias("key")).where("key is not null").distinct().join(present, "key", "left_anti").select(F.lit("missing_file").alias("rule"), "key", F.lit("").alias("detail"))
 
 
-def adapter_rules(required: list[str], uses: str = "use_dora", targets: str = "target_modules") -> dict[str, Column]:
+def adapter_rules(required: list[str], uses: str = "weight_decomposed", targets: str = "target_modules") -> dict[str, Column]:
     """Rules of an adapter's configuration: the method is on, and all required modules are targets."""
     lacking = F.array_except(F.array(*map(F.lit, required)), F.coalesce(targets, F.array().cast("array<string>")))
     return {"method_off": ~F.coalesce(F.col(uses), F.lit(False)), "target_missing": F.size(lacking) > 0}

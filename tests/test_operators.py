@@ -121,7 +121,7 @@ def test_missing_files_and_adapters(spark):
     paths = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "p string")
     files = spark.createDataFrame([("a", 5), ("b", 0)], "path string, length long")
     assert rows(contracts.missing_files(paths, "p", files), "key") == [("b",), ("c",)]
-    conf = spark.createDataFrame([("x", True, ["q", "v", "o"]), ("y", False, ["q"]), ("z", None, None)], "k string, use_dora boolean, target_modules array<string>")
+    conf = spark.createDataFrame([("x", True, ["q", "v", "o"]), ("y", False, ["q"]), ("z", None, None)], "k string, weight_decomposed boolean, target_modules array<string>")
     assert rows(contracts.broken(conf, F.col("k"), contracts.adapter_rules(["q", "v"])), "key", "rule") == [("y", "method_off"), ("y", "target_missing"), ("z", "method_off"), ("z", "target_missing")]
 
 
