@@ -21,6 +21,7 @@ Extra columns are ignored; empty tables give an empty mixture.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +41,10 @@ MOST_TARGETS = 10_000
 def tokenizer(vocabulary: str):
     import tiktoken
 
+    if not os.path.exists(vocabulary):  # the same file from the installed package
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(os.path.basename(vocabulary))
     # Fixed value: the public split pattern that belongs to this vocabulary.
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
     with open(vocabulary, "rb") as f:
