@@ -6,7 +6,8 @@ Three steps, all over the whole corpus and whole texts:
    contributes to the corpus (``p(xy) * log2(p(xy) / p(x)p(y))``, in bits of
    log scale).  Characters fall into ``N_CLASSES`` classes, so the table has at
    most ``N_CLASSES ** 2`` cells whatever the size of the corpus; that is the
-   bound under which it is sent to the executors.
+   bound under which it is sent to the executors.  Copies of a text count once,
+   else a garbled text that is repeated often makes its own pairs probable.
 2. isolate improbable runs in each text: maximum-scoring segments of
    ``threshold - information(pair)``.  The threshold is a quantile of the
    corpus itself.
@@ -63,7 +64,7 @@ def pair_codes(text: str) -> np.ndarray:
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(code, n): occurrences of each pair over all texts; summed in the tasks before the shuffle."""
+    """(code, n): occurrences of each pair over all distinct texts; summed in the tasks before the shuffle."""
 
     def count(batches):
         total = np.zeros(N_CLASSES * N_CLASSES, dtype=np.int64)
@@ -74,7 +75,7 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         code = np.flatnonzero(total)
         yield pd.DataFrame({"code": code, "n": total[code]})
 
-    return docs.select(F.col(text).alias("t")).where("t is not null").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("t")).where("t is not null").distinct().mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class PairModel:

@@ -94,6 +94,20 @@ def test_frame(spark):
     assert e.restore_encoding(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stored, read", [("utf-8", "cp1252"), ("utf-8", "cp437"), ("cp1252", "mac_roman")])
+def test_garbled_copies_of_a_third_of_the_rows(spark, stored, read):
+    """Pair counts, runs and outcome are the same however often a garbled text is repeated."""
+    texts = list(dict.fromkeys(corpus(100)))
+    garbled = FRENCH.encode(stored, "ignore").decode(read, "ignore")
+    copies = len(texts) // 2
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100_000 + i, garbled) for i in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pairs = lambda d: {r["code"]: r["n"] for r in e.pair_counts(d).collect()}
+    assert pairs(df) == pairs(df.where(f"doc_id <= {100_000}"))
+    got = {r["doc_id"]: r["restored"] for r in e.restore_encoding(df).collect()}
+    assert set(got) == set(range(100_000, 100_000 + copies)) and len(set(got.values())) == 1
+
+
 def test_segments_near_wanted_positions():
     rng = random.Random(5)
     for _ in range(200):
