@@ -1,5 +1,10 @@
 import datetime as dt
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from qaloom.plans import streams
 from qaloom.streaming import responses as st
 
 
@@ -40,3 +45,30 @@ def test_outcomes(spark, tmp_path):
     out = st.run_to_end(st.outcomes(feed(spark, tmp_path, batches, schema)), str(tmp_path / "run"), "append")
     got = {r["qid"]: (r["outcome"], r["waited_s"]) for r in out.collect()}
     assert got["a"] == ("answered", 10.0) and got["b"] == ("timeout", 60.0) and got["d"][0] == "timeout" and got["z"] == ("answered", 1.0)
+
+
+def in_files(folder, name, rows, schema):
+    """A table of one file for each row, last changed in the order of the rows."""
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "timestamp": pa.timestamp("us")}
+    fields = pa.schema([(column, kinds[kind]) for column, kind in (f.split(" ") for f in schema.split(", "))])
+    table = folder / f"{name}.parquet"
+    table.mkdir()
+    for i, row in enumerate(rows):
+        pq.write_table(pa.Table.from_pylist([dict(zip(fields.names, row))], fields), table / f"part-{i:02d}.parquet")
+        os.utime(table / f"part-{i:02d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def test_late_rows_of_many_files_count(spark, tmp_path):
+    """The last files hold rows far older than the watermark of the others (Spark drops by the one before last)."""
+    day = 86_400
+    rows = [(i, f"q{i}", "x", 1.0, at(40 * day + i)) for i in range(38)] + [(38, "q38", "x", 2.0, at(0)), (39, "q39", "x", 3.0, at(day))]
+    in_files(tmp_path, "responses", rows, st.RESPONSES)
+    got = sorted((r["day"], r["n"], r["latency_s"]) for r in streams.stream_latency(spark, str(tmp_path)).collect())
+    assert got == [("2025-01-01", 1, 2.0), ("2025-01-02", 1, 3.0), ("2025-02-10", 38, 38.0)]
+
+
+def test_late_sessions_of_many_files_count(spark, tmp_path):
+    rows = [(i, at(40_000 + i), 7, "click", 1.0, "") for i in range(38)] + [(38, at(0), 7, "click", 1.0, ""), (39, at(60), 8, "click", 1.0, "")]
+    in_files(tmp_path, "events", rows, st.EVENTS)
+    got = sorted((r["user_id"], r["n_events"]) for r in streams.stream_sessions(spark, str(tmp_path)).collect())
+    assert got == [(7, 1), (7, 38), (8, 1)]
