@@ -120,7 +120,8 @@ def p5_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_plan(spark, sf).where("not met").select("field_name", "category").distinct()
+    """Targets of which the sample holds fewer records than wanted, with the exact check on counts after it."""
+    return p5_report(spark, sf).where("drawn < wanted and not met").select("field_name", "category").distinct()
 
 
 def _sample(field: str):
@@ -167,10 +168,6 @@ def p8_plan(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixing_plan(mixing.token_counts(table(spark, sf, "documents")), table(spark, sf, "mix_target"))
 
 
-def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_plan(spark, sf).where("short").select("source").distinct()
-
-
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     from qaloom.operators.lineage import cut
 
@@ -179,6 +176,12 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return counts, mixing.mixture(counts, targets), targets
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources whose blocks in the mixture don't reach their share, with the exact check on tokens after it."""
+    counts, mixed, targets = _mixed(spark, sf)
+    return mixing.short_sources(counts, mixed, targets)
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 

@@ -167,3 +167,15 @@ def mixture_report(counts: DataFrame, mixed: DataFrame, targets: DataFrame) -> D
     report = mixing_plan(counts, targets).join(got, "source", "left").crossJoin(F.broadcast(all_))  # one row
     actual = F.coalesce(F.try_divide(F.col("mixed_tokens") * 100.0, F.col("all_mixed")), F.lit(0.0))
     return report.select("source", "target_pct", "tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), actual.alias("actual_pct"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "short")
+
+
+def short_sources(counts: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source): sources whose blocks in the mixture hold fewer tokens than their share and that are ``short``.
+
+    Whole blocks can leave a sufficient source a little below its share; the exact
+    check tells it from one that lacks tokens.  Where a source has several
+    targets, its blocks are not told apart and the exact check alone decides.
+    """
+    got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
+    plan = mixing_plan(counts, targets).withColumn("n_targets", F.count(F.lit(1)).over(Window.partitionBy("source")))
+    return plan.join(got, "source", "left").where("short and (coalesce(mixed_tokens, 0) < wanted or n_targets > 1)").select("source").distinct()
