@@ -59,12 +59,14 @@ def torn(records: DataFrame, record: str, entity: str, split: str) -> DataFrame:
 
     Components that hold several splits are the candidates, an exact count for
     each of their entities follows.  Null entities and splits make no case.
+    Rows with a null record link no entities, but their splits count; an entity
+    that has only such rows is its own component.
     """
     records = cut(records.select(record, entity, split))  # read by the graph and by the counts
     pairs = records.where(F.col(entity).isNotNull() & F.col(split).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(split).alias("split")).agg(F.lit(1).alias("one")).drop("one")
     parts = components(records, record, entity)
     several = lambda rows, key: rows.groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select(key)
-    known = pairs.join(parts, "entity")
+    known = pairs.join(parts, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     return several(known.join(several(known, "component"), "component", "left_semi"), "entity")
 
 

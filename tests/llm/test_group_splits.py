@@ -78,5 +78,11 @@ def test_torn_entities(spark):
     assert g.torn(df.where(F.lit(False)), "record", "entity", "split").count() == 0
 
 
+def test_torn_entities_of_null_records(spark):
+    rows = [(None, "v", "train"), (None, "v", "test"), ("1", "w", "train"), (None, "w", "test"), (None, "x", "val"), (None, "x", "val"), (None, None, "test")]
+    df = spark.createDataFrame(rows, "record string, entity string, split string")
+    assert sorted(r[0] for r in g.torn(df, "record", "entity", "split").collect()) == ["v", "w"]
+
+
 def test_empty_table(spark):
     assert g.group_splits(spark.createDataFrame([], SCHEMA), {"a": 1.0}).count() == 0
