@@ -4,13 +4,16 @@ Each pair of question and answer gets at most one defect, tried in the order
 ``empty``, ``copies_question``, ``refusal``, ``truncated``, ``other_language``:
 
 * the answer traverses a suffix automaton of the question's words, which gives
-  the length of the longest copied stretch at each word and so the copied
-  share; an answer that is a copy but for a few lead-in words is checked exactly;
-* an automaton over all refusal phrases (Aho-Corasick) reads the answer once;
+  the longest copied stretch at each word.  The copied coverage is the share of
+  words in stretches of at least ``STRETCH`` words; an answer that is covered
+  less than ``COVERAGE`` is no copy, one that is covered is confirmed by the
+  order of its words.  Single words that also stand in the question are chance;
+* refusals are composed of parts found by an automaton (see ``refusals``);
 * a stack of delimiters, closing marks and the unfinished tails of the short
   answer forms (times, lists, positions, class names) show truncation;
-* words vote for languages by stopword lists; class names, numbers and
-  positions have no vote.
+* words vote for languages by stopword lists, and by the classes' and
+  positions' names in each language, as short answers have no stopword; class
+  names as the labels write them, numbers and positions have no vote.
 
 Defined results: a null answer is empty; without a question (null or blank) an
 answer can't copy it nor be in another language; rows without a key are no
@@ -24,11 +27,12 @@ from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.llm.refusals import refuses
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -41,37 +45,33 @@ def words(text: str) -> list[str]:
 #: Class names of foreign objects.
 CLASS_NAMES = ("sponge", "clip", "specimen bag", "silicone loop", "external drain", "needle", "gallstone", "specimen", "mesh", "absorbable hemostatic agent")
 #: Stand-ins for a missing value, as words joined by a blank.
-STAND_INS = frozenset({"nan", "null", "undefined", "nil", "na", "n a", "void", "missing", "tbd", "nonetype", "nul", "nat"})
+STAND_INS = frozenset(
+    "nan|null|undefined|nil|na|n a|void|missing|tbd|tba|nonetype|nul|nat|empty|blank|unknown|not available|not applicable|not provided|not given|no data|no value|no answer|no response|unspecified"
+    "|unbekannt|keine angabe|keine angaben|k a|nicht verfügbar|inconnu|inconnue|non disponible|non renseigné|sans réponse|desconocido|desconocida|no disponible|sin datos|sin respuesta".split("|")
+)
 CLOSING_MARKS = ".!?…。"
 DELIMITERS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
-REFUSALS = (
-    # English
-    "can t give an opinion", "cannot give an opinion", "have to decline", "must decline", "decline to answer", "decline to assess", "i decline", "i must refuse", "i refuse",
-    "not able to look into", "not able to help", "not able to assist", "not able to answer", "not able to provide", "unable to help", "unable to assist", "unable to answer", "unable to provide", "unable to comment", "unable to assess",
-    "would rather not provide", "would rather not answer", "rather not comment", "guidelines keep me from", "guidelines do not allow", "guidelines don t allow", "won t comment on", "will not comment on",
-    "leave to a qualified", "outside what i may respond", "not be right for me to", "can t help with", "cannot help with", "can t assist", "cannot assist", "can t answer", "cannot answer", "can t provide", "cannot provide", "can t comment", "cannot comment",
-    "i m not allowed", "i am not allowed", "i m not permitted", "i am not permitted", "i can t judge", "i cannot judge", "i can t assess", "i cannot assess", "can t discuss", "cannot discuss", "i won t answer", "i can t do that", "i cannot do that",
-    # German
-    "keine auskunft geben", "dieses material nicht beurteilen", "diese anfrage ablehnen", "nicht beantworten", "nicht weiterhelfen", "kann ich nicht helfen", "kann ich ihnen nicht helfen", "darf ich nicht", "keine einschätzung", "nicht dazu äußern", "muss ich ablehnen", "keine stellungnahme",
-    # French
-    "ne peux pas me prononcer", "m est pas permis", "n est pas permis", "est pas possible de me prononcer", "refuser cette demande", "ne peux pas répondre", "ne peux pas vous aider", "ne suis pas en mesure", "ne suis pas autorisé", "dois décliner", "ne peux pas commenter", "ne peux pas évaluer",
-    # Spanish
-    "no puedo opinar", "rechazar esta solicitud", "no me está permitido", "no puedo responder", "no puedo ayudar", "no estoy en condiciones", "no estoy autorizado", "debo declinar", "no puedo comentar", "no puedo evaluar", "no puedo valorar",
-)
-#: Words that vote for a language.  A word of several languages shares its vote among them.
-VOTES = {
-    "en": "the of and is are was were in on at to with that this it by for from which what when how who does did not no yes until while before after because although though since then than be been has have had its there their one nothing every any please between behind against beside during over under into out can could would why where many times share any all each more most same other upper lower corner picture gauze folded frame frames answer object foreign class bag and or as so if you your i my we our they he she nobody somebody something whose whom about around near next close middle centre center first second several few seconds minutes seen shown found taken they them these those such very only just still",
-    "de": "der die das den dem des ein eine einen einem einer und ist sind war waren wurde wurden wird mit von vom zu zum zur im in am auf aus bei nach vor für nicht kein keine keiner keines ja nein wie was wann wo wer welche welcher welches oder um ab bis dass weil während obwohl sobald davon jedoch nur noch einmal es sich über unter hinter neben zwischen oben unten links rechts mitte bild nadel netz bauchtuch bergebeutel gallenstein drainage silikonschlinge metallclip hämostyptikum präparat ich sie er wir ihr durch ohne gegen an danach dann zuletzt kaum gut bitte viele mal als auch wenn schon sehr objekt fremdkörper dieser diese dieses man mehr weniger seit trotz statt etwa rund sowie damit dabei dort hier sekunden minuten zweite erste lag bleibt",
-    "fr": "le la les l un une des du de d et est sont était étaient au aux à dans sur sous par pour avec que qui quoi quand combien quelle quel quelles quels où ne pas non oui aucun aucune ce cette ces il elle ils elles on se s y en dès bien car selon entre contre puis rien hormis haut bas gauche droite milieu aiguille sac recueil compresse treillis calcul biliaire agent hémostatique drain externe boucle posé objet corps étranger étrangers je tu nous vous mais donc ou plus très près derrière côté c qu n m a été avait pièce image pendant demande avant après lors comme tout tous toute fait toujours encore aussi leur leurs chez sans vers depuis jusque quelques environ secondes seconde premier première table bien reste trop peu",
-    "es": "el la los las un una unos unas de del y e es son era al en por para con sin que qué quién cuándo cuánto cuántos cuántas cómo dónde no sí ninguno ninguna se su sus lo está están fue según entre sobre bajo hasta desde pero muy ya arriba abajo izquierda derecha centro aguja gasa malla bolsa extracción cálculo biliar agente hemostático drenaje lazo silicona pieza extirpada colocado objeto cuerpo extraño extraños yo como más o nada salvo durante antes después al hay unos esta este mientras pide aunque porque cuando donde sino tras cada todo todos toda otra otro algunos segundos segunda primera primero mesa sigue queda imagen",
+#: Stopwords, which vote for a language.  A word of several languages shares its vote among them.
+STOPWORDS = {
+    "en": "the of and is are was were be been being in on at to with that this these those it its by for from which what when how who whom whose where why does did do not no yes nothing none every any each all some until while before after because although though since then than has have had having there their they them one would could should can will may must about around near between behind against beside during over under into onto out off up down above below through again once only just still very more most other another same such so if or but nor as your you i my we our he she his her him us me many much few several first second near also both neither nobody somebody something please upper lower left-hand close next across along within without upon yet too",
+    "de": "der die das den dem des ein eine einen einem einer eines und ist sind war waren wurde wurden wird werden sein bin mit von vom zu zum zur im in am an auf aus bei nach vor für nicht kein keine keiner keinen keinem keines ja nein wie was wann wo wer wen wem warum welche welcher welches welchen oder aber um ab bis dass weil während obwohl sobald davon dabei damit dazu darin jedoch nur noch einmal es sich über unter hinter neben zwischen oben unten mitte ich sie er wir ihr ihm ihn man durch ohne gegen danach dann dort hier zuletzt auch als wenn schon sehr mehr weniger seit trotz statt etwa rund sowie dieser diese dieses diesem kaum bitte viele viel alle alles jede jeder jedes nichts etwas hat haben hatte kann können soll muss darf denn doch also außer bevor nachdem sonst wieder immer",
+    "fr": "le la les l un une des du de d et est sont était étaient être au aux à dans sur sous par pour avec que qui quoi quand combien quelle quel quelles quels où comment pourquoi ne pas non oui aucun aucune ce cette ces cet il elle ils elles on se s y en dès bien car selon entre contre puis rien hormis haut bas milieu je tu nous vous mais donc ou plus moins très près derrière devant côté c qu n m a ont avait avant après lors pendant depuis comme tout tous toute toutes toujours encore aussi leur leurs son sa ses mon ma mes notre votre chez sans vers jusque quelques environ si même lorsque trop peu fait faire ni afin alors ainsi sauf malgré déjà jamais",
+    "es": "el la los las un una unos unas de del y e es son era eran ser fue fueron al a en por para con sin que qué quién quiénes cuándo cuánto cuánta cuántos cuántas cómo dónde cuál cuáles no sí ninguno ninguna ningún nada nadie se su sus lo le les está están estaba según entre sobre bajo hasta desde pero muy ya arriba abajo centro yo como más menos o u salvo durante antes después hay esta este estos estas esto ese esa mientras aunque porque cuando donde sino tras cada todo toda todos todas otra otro otros otras algunos algunas algo también si ni me mi te tu nos junto cerca detrás delante dentro fuera tan poco mucho siempre nunca",
+}
+#: The classes and positions as each language names them; they vote like stopwords.
+TERMS = {
+    "en": "gauze corner swab quadrant",
+    "de": "nadel netz bauchtuch tupfer kompresse bergebeutel beutel gallenstein drainage silikonschlinge schlinge metallclip klammer hämostyptikum präparat links rechts bild objekt fremdkörper",
+    "fr": "aiguille compresse éponge sac recueil treillis filet calcul biliaire agent hémostatique drain externe boucle pièce opératoire gauche droite image objet corps étranger agrafe",
+    "es": "aguja gasa compresa esponja malla bolsa extracción cálculo biliar hemostático drenaje externo lazo silicona pieza izquierda derecha imagen objeto cuerpo extraño grapa",
 }
 #: Letters that only one of the languages uses.
 LETTER_VOTES = {"ß": "de", "ä": "de", "ö": "de", "ñ": "es", "¿": "es", "¡": "es", "ç": "fr", "œ": "fr", "ê": "fr", "è": "fr", "ù": "fr", "û": "fr", "î": "fr", "ô": "fr", "ó": "es", "í": "es", "á": "es", "ú": "es"}
 
-LANGUAGES = tuple(VOTES)
+LANGUAGES = tuple(STOPWORDS)
 _VOTES: dict[str, tuple[int, ...]] = {}
-for _k, _list in enumerate(VOTES.values()):
-    for _w in _list.split():
+for _k, _name in enumerate(LANGUAGES):
+    for _w in sorted({*STOPWORDS[_name].split(), *TERMS[_name].split()}):
         _VOTES[_w] = (*_VOTES.get(_w, ()), _k)
 
 # --- copies of the question ------------------------------------------------
@@ -137,20 +137,25 @@ def in_order(part: list[str], whole: list[str]) -> bool:
     return all(w in it for w in part)
 
 
-def copies(answer: list[str], question: list[str], lead_in: int = 3, least: int = 5) -> bool:
-    """Whether the answer, but for a lead-in, is words of the question in its order."""
-    if len(answer) < least or len(question) < least or len(answer) > len(question) + lead_in:
-        return False
-    have = set(question)
-    if sum(w not in have for w in answer) > lead_in:
-        return False
+STRETCH = 2  # words that a copied stretch has at least
+COVERAGE = 0.5  # share of an answer's words that copied stretches cover at least
+
+
+def coverage(answer: list[str], question: list[str], stretch: int = STRETCH) -> float:
+    """Share of the answer's words that lie in stretches of at least ``stretch`` words copied from the question."""
     found = _automaton(tuple(question)).matches(answer)
-    # words covered by a stretch of the question
     covered = reach = 0
-    for i in range(len(found) - 1, -1, -1):
-        reach = max(reach - 1, found[i])
+    for n in reversed(found):
+        reach = max(reach - 1, n if n >= stretch else 0)
         covered += reach > 0
-    if covered < len(answer) - lead_in:
+    return covered / len(answer) if answer else 0.0
+
+
+def copies(answer: list[str], question: list[str], lead_in: int = 3, least: int = 5) -> bool:
+    """Whether the answer, but for a lead-in, is copied from the question, in its order."""
+    if len(answer) < least or len(question) < least or len(answer) > len(question) + lead_in:
+        return False
+    if coverage(answer, question) < COVERAGE:
         return False
     for lead in range(lead_in + 1):
         rest = answer[lead:]
@@ -162,23 +167,6 @@ def copies(answer: list[str], question: list[str], lead_in: int = 3, least: int
 
 _CLASS_WORDS = frozenset(w for name in CLASS_NAMES for w in name.split())
 
-# --- refusals --------------------------------------------------------------
-
-
-@lru_cache(1)
-def _refusal_automaton() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        automaton.add_word(f" {phrase} ", phrase)
-        automaton.add_word(f" {phrase}\n", phrase)
-    automaton.make_automaton()
-    return automaton
-
-
-def refuses(answer: list[str]) -> bool:
-    return next(_refusal_automaton().iter(f" {' '.join(answer)} "), None) is not None
-
-
 # --- truncation ------------------------------------------------------------
 
 _LEAD = re.compile(r"^\s*(?:final\s+)?answer\s*:\s*", re.IGNORECASE)
@@ -290,7 +278,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
     asked = question if question and not question.isspace() else None
     if asked and len(w) >= 5 and copies(w, words(asked)):
         return "copies_question"
-    if len(w) >= 3 and refuses(w):
+    if refuses(answer):
         return "refusal"
     if truncated(answer):
         return "truncated"

@@ -1,4 +1,5 @@
 import pytest
+from held_out_refusals import REFUSE, SOUND
 
 from qaloom.llm import defects as d
 
@@ -17,7 +18,7 @@ CASES = [
     (ASK, ASK, "copies_question"), (ASK, ASK.upper(), "copies_question"), (ASK, "You asked: " + ASK, "copies_question"), (ASK, "Did the Clip leave the picture between 01:16:41 and 01:18:14", "copies_question"), (ASK, ASK + " The Clip left it at 01:17:00 and was not seen again.", None), (ASK, "the clip leave picture", None),
     (DE, "ja", None), (DE, "yes", "other_language"), (ASK, "ja", "other_language"), (ES, "no", None), (ASK, "no", None), (DE, "no", "other_language"), (ASK, "aiguille", "other_language"), (FR, "aiguille", None), (FR, "Sponge", None), (DE, "top/left", None), (ASK, "arriba a la izquierda", "other_language"),
     (DE, "Zwei Lesende sind uneins: einmal ist die Nadel gut ausgeleuchtet, einmal fehlt jede Spur.", None), (DE, "The trainee asks for the hook because it was dark.", "other_language"), (ES, "Le porteur de caméra avait relevé 347 éléments, le compte rendu en donne 8.", "other_language"), (FR, "La segunda cirujana pide la pinza bipolar porque el campo se inundó.", "other_language"),
-    (None, "yes", None), ("  ", "aiguille", None), (None, None, "empty"), (ASK, "x " * 50_000 + "end.", None),
+    (ASK, "unknown", "empty"), (ASK, "Not available.", "empty"), (None, "yes", None), ("  ", "aiguille", None), (None, None, "empty"), (ASK, "x " * 50_000 + "end.", None),
 ]
 
 
@@ -50,3 +51,24 @@ def test_question_at_the_end(spark):
     rows = [("Frame: <image>\nQuestion: a\nQUESTION: b?",), ("no mark",), (None,), ("question:",)]
     got = [r[0] for r in spark.createDataFrame(rows, "u string").select(d.asked_last("u")).collect()]
     assert got == [" b?", "no mark", None, ""]
+
+
+def test_held_out_refusals():
+    found, wrong = sum(d.refuses(x) for x in REFUSE), sum(d.refuses(x) for x in SOUND)
+    assert found >= 0.9 * len(REFUSE) and found >= 0.9 * (found + wrong)
+
+
+def test_refusals_need_a_speech_act():
+    assert d.refuses("I cannot really comment on it.") and not d.refuses("I cannot really lift it.")
+    assert not d.refuses("I cannot judge the place because smoke hides the clip.")
+    assert not d.refuses("") and not d.refuses(". . .") and d.refuses("The clip is there. I won't say anything more, but I must decline.")
+
+
+def test_the_automaton_decides_on_copies(monkeypatch):
+    asked = d.words("where is the clip at the end of the film and who held the mesh before it was cut")
+    scattered = ["where", "clip", "end", "film", "held", "before", "cut"]  # in the question's order, but no stretch of it
+    assert d.in_order(scattered, asked) and d.coverage(scattered, asked) == 0.0 and not d.copies(scattered, asked)
+    stretch = d.words("at the end of the film and who held the mesh")
+    assert d.copies(stretch, asked) and d.coverage(["well", *stretch], asked) == len(stretch) / (len(stretch) + 1)
+    monkeypatch.setattr(d, "coverage", lambda *a: 1.0)
+    assert d.copies(scattered, asked)
