@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower, vkey
 from qaloom.llm import cross_split, defects, encoding, group_splits, leakage, mixing, proportional, stable_sample
+from qaloom.operators.lineage import cut
 
 SAMPLE_RATE = 0.05
 
@@ -168,29 +169,40 @@ def p8_plan(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixing_plan(mixing.token_counts(table(spark, sf, "documents")), table(spark, sf, "mix_target"))
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from qaloom.operators.lineage import cut
-
-    counts = cut(mixing.token_counts(table(spark, sf, "documents")))  # tokenise once
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Counts, targets, places of documents, mixture."""
+    counts = cut(mixing.token_counts(table(spark, sf, "documents")))  # read by plan and packing
     targets = table(spark, sf, "mix_target")
-    return counts, mixing.mixture(counts, targets), targets
+    places, blocks = mixing.pack(counts)
+    return counts, targets, places, mixing.mixture(counts, targets, blocks)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources whose blocks in the mixture don't reach their share, with the exact check on tokens after it."""
-    counts, mixed, targets = _mixed(spark, sf)
+    counts, targets, _, mixed = _mixed(spark, sf)
     return mixing.short_sources(counts, mixed, targets)
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed(spark, sf)[1]
+    """All slots of the mixture with the token ids of their blocks."""
+    _, _, places, mixed = _mixed(spark, sf)
+    return mixing.filled(mixed, mixing.block_tokens(table(spark, sf, "documents"), places))
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
-    counts, mixed, targets = _mixed(spark, sf)
+    counts, targets, _, mixed = _mixed(spark, sf)
     return mixing.mixture_report(counts, mixed, targets)
 
 
+def p8_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source: whether it is short, keeps to its repeats, and, if not short, has its share within five standard errors of the draw and a percent."""
+    rows = p8_report(spark, sf).join(table(spark, sf, "mix_target").select(trimmed_lower(F.col("source")).alias("source"), "max_repeats", "budget_pct").distinct(), "source")
+    budget, p = F.col("all_tokens") * F.col("budget_pct") / 100, F.col("target_pct") / 100
+    error = 5 * F.sqrt(p * (1 - p) * 512 / budget) + 0.01
+    close = F.col("short") | (F.abs(F.col("mixed_tokens") / budget - p) < error)
+    return rows.select("source", "short", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), close.alias("share_kept"))
+
+
 # --- 9: garbled text from wrong character encoding --------------------------
 
 
@@ -213,7 +225,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_report": p4_report,
     "p5_found": p5_found, "p5_plan": p5_plan, "p5_request_sample": _sample("request.procedure_type"), "p5_train_sample": _sample("train_sft.dataset"), "p5_results_sample": _sample("detailed_results.capability_group"), "p5_report": p5_report,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report,
-    "p8_found": p8_found, "p8_plan": p8_plan, "p8_mixture": p8_mixture, "p8_report": p8_report,
+    "p8_found": p8_found, "p8_plan": p8_plan, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_bounds": p8_bounds,
     "p9_found": p9_found, "p9_restored": p9_restored, "p9_report": p9_report,
 }
 
@@ -272,11 +284,12 @@ with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as x
 select distinct doc_id, item_id from d join s using (g)"""
 
 # tokens are counted here as words and marks: any common count gives the same sources
-_P8_FOUND = rf"""
+_P8 = rf"""
 with d as (select distinct doc_id, {_LOW.format('source')} as source, text from documents),
  n as (select source, sum(coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')), 0)) as tokens from d group by source),
- t as (select distinct {_LOW.format('source')} as source, target_pct, max_repeats, budget_pct from mix_target)
-select source from t left join n using (source) where source is not null and max_repeats * coalesce(tokens, 0) < target_pct / 100.0 * budget_pct / 100.0 * (select sum(tokens) from n)"""
+ t as (select distinct {_LOW.format('source')} as source, target_pct, max_repeats, budget_pct from mix_target),
+ s as (select source, max_repeats * coalesce(tokens, 0) < target_pct / 100.0 * budget_pct / 100.0 * (select sum(tokens) from n) as short from t left join n using (source) where source is not null)
+"""
 
 _P2_GROWTH = f"""
 with first as (select {_LOW.format('qid')} as qid, min(wave) as wave from request where {_LOW.format('qid')} is not null group by 1), sample as ({_p2_sql()})
@@ -286,7 +299,8 @@ ORACLES = {
     "p2_sample": _p2_sql(),
     "p2_growth": _P2_GROWTH,
     "p7_found": _P7_FOUND,
-    "p8_found": _P8_FOUND,
+    "p8_found": _P8 + "select distinct source from s where short",
+    "p8_bounds": _P8 + "select source, short, true as repeats_kept, true as share_kept from s",
     "p4_found": _P4_FOUND,
     "p5_plan": _p5_plan_sql() + "select field_name, category, available, all_records, wanted, available >= wanted as met from p",
     "p5_found": _p5_plan_sql() + "select distinct field_name, category from p where available < wanted",

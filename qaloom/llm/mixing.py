@@ -1,21 +1,28 @@
 """Mixing sources to target weights.
 
 Documents are tokenised with a public tokenizer and packed, source by source,
-into blocks of ``block`` tokens.  Multinomial draws say how many blocks of which
-source each of the ``shards`` output shards gets; a source's slots
-are numbered across shards, and a pseudo-random permutation of its block indices
-(another one for each repeat) says which block a slot holds.  Slots and blocks
-are joined by index, so nothing is shuffled but the blocks themselves, and no
+into blocks of ``block`` token ids.  The mixture has slots for its budget, dealt
+evenly to output shards; a multinomial draw for each shard says how many of its
+slots hold which source.  A source's slots are numbered across shards, and a
+pseudo-random permutation of its block indices (another one for each repeat)
+says which block a slot holds.  Slots and blocks are joined by index, so no
 source is repeated more often than allowed.
 
-Scale: packing needs a running sum of tokens over each source.  A source is
-dealt into lanes of about ``lane_tokens`` by hash of the document, so a source
-of any size is packed in parallel; the last block of a lane may be short.
+Scale: packing is planned on token counts alone, as a running sum over each
+source.  A source is dealt into lanes of about ``lane_tokens`` by hash of the
+document, so a source of any size is packed in parallel; the last block of a
+lane may be short.  Texts are exchanged once to meet their places, their pieces
+once to meet in blocks.  Shards, draws and slots are rows of DataFrames; with
+more than ``TARGETS_A_DRAW`` targets, groups of targets are drawn first and the
+targets within each group after, which is the same distribution.
 
 Defined results: sources are compared trimmed and in lower case; a null or blank
 source is none; null text has no tokens; repeated rows count once.  A source
 without a target is left out; a target without documents is reported with none.
-Extra columns are ignored; empty tables give an empty mixture.
+Of several targets of one source the largest share counts in the mixture.  A
+source that can't reach its share is drawn with what it can reach, and the slots
+that it lacks stay unfilled.  Extra columns are ignored; empty tables give an
+empty mixture.
 """
 
 from __future__ import annotations
@@ -27,44 +34,52 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower
 from qaloom.operators.lineage import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MOST_TARGETS = 10_000
+TARGETS_A_DRAW = 10_000
+SHARDS_A_TASK = 1000
 
 
 @lru_cache(2)
 def tokenizer(vocabulary: str):
+    """The tokenizer of a vocabulary file, given by its path or, in tasks, by the name it was sent under."""
     import tiktoken
 
-    if not os.path.exists(vocabulary):  # the same file from the installed package
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path(os.path.basename(vocabulary))
+    path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
     # Fixed value: the public split pattern that belongs to this vocabulary.
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    with open(vocabulary, "rb") as f:
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def send_vocabulary(spark: SparkSession, vocabulary: str) -> str:
+    """Send the vocabulary to all executors through Spark's file server; the name to open it by."""
+    spark.sparkContext.addFile(vocabulary)
+    return os.path.basename(vocabulary)
+
+
+def _texts(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), trimmed_lower(F.col(source)).alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t"))
+
+
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens): each document once, whole texts."""
+    """(doc_id, source, text_hash, n_tokens): each document once, whole texts."""
+    name = send_vocabulary(docs.sparkSession, vocabulary)
 
     def work(batches):
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer(name).encode_ordinary
         for batch in batches:
-            n = [0 if t is None else len(encode(t)) for t in batch["t"]]
-            h = [0 if t is None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in batch["t"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": n, "h": h})
+            yield batch.drop(columns="t").assign(n_tokens=[0 if t is None else len(encode(t)) for t in batch["t"]])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), trimmed_lower(F.col(source)).alias("source"), F.col(text).alias("t"))
-    return rows.mapInPandas(work, f"doc_id {kind}, source string, n_tokens long, h long").distinct().drop("h")
+    return _texts(docs, doc_id, source, text).mapInPandas(work, f"doc_id {kind}, source string, text_hash long, n_tokens long").distinct()
 
 
 def mixing_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -80,24 +95,51 @@ def mixing_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.withColumn("short", F.col("reachable") < F.col("wanted"))
 
 
-def pack(counts: DataFrame, block: int = 512, lane_tokens: int = 4_000_000) -> DataFrame:
-    """(source, block, n_tokens, spans): ``spans`` are (doc_id, start, length) in tokens of the document.
+def pack(counts: DataFrame, block: int = 512, lane_tokens: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """The plan of packing: places (doc_id, source, text_hash, first_token) and blocks (source, block, n_tokens).
 
-    Blocks of a source are numbered from 0 without holes.
+    ``first_token`` is where a document's tokens begin, block ``b`` of a source
+    being its places ``b * block`` up to ``(b + 1) * block``.  Blocks of a source
+    are numbered from 0 without holes; the last of a lane may end early.
     """
-    rows = counts.select("doc_id", "source", "n_tokens").where("source is not null and n_tokens > 0")
+    rows = counts.select("doc_id", "source", "text_hash", "n_tokens").where("source is not null and n_tokens > 0")
     lanes = rows.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_tokens") / lane_tokens)).cast("bigint").alias("n_lanes"))
     # sources are as many as the data has, so Catalyst picks the join by their size
     dealt = rows.join(lanes, "source").withColumn("order", F.xxhash64("doc_id")).withColumn("lane", F.pmod("order", "n_lanes"))
-    along = Window.partitionBy("source", "lane").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("end", F.sum("n_tokens").over(along)).withColumn("start", F.col("end") - F.col("n_tokens"))
+    sizes = dealt.groupBy("source", "lane").agg(F.sum("n_tokens").alias("lane_size"), F.ceil(F.sum("n_tokens") / block).cast("bigint").alias("n"))
     first = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("source", "lane").agg(F.ceil(F.sum("n_tokens") / block).cast("bigint").alias("n")).select("source", "lane", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"))
-    pieces = placed.select("source", "lane", "doc_id", "start", "end", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")).alias("b"))
-    begin, stop = F.greatest("start", F.col("b") * block), F.least("end", (F.col("b") + 1) * block)
-    span = F.struct(begin.alias("at"), F.col("doc_id"), (begin - F.col("start")).alias("start"), (stop - begin).alias("length"))
-    blocks = pieces.groupBy("source", "lane", "b").agg(F.sum(stop - begin).alias("n_tokens"), F.sort_array(F.collect_list(span)).alias("spans"))  # at most `block` spans
-    return blocks.join(bases, ["source", "lane"]).select("source", (F.col("base") + F.col("b")).alias("block"), "n_tokens", F.transform("spans", lambda s: s.dropFields("at")).alias("spans"))
+    sizes = sizes.select("source", "lane", "lane_size", "n", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"))
+    along = Window.partitionBy("source", "lane").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("start", F.coalesce(F.sum("n_tokens").over(along), F.lit(0))).join(sizes.select("source", "lane", "base"), ["source", "lane"])
+    places = placed.select("doc_id", "source", "text_hash", (F.col("base") * block + F.col("start")).alias("first_token"))
+    blocks = sizes.select("source", "base", "lane_size", F.explode(F.expr("sequence(0, n - 1)")).alias("b"))  # a lane has few blocks
+    return places, blocks.select("source", (F.col("base") + F.col("b")).alias("block"), F.least(F.lit(block), F.col("lane_size") - F.col("b") * block).cast("bigint").alias("n_tokens"))
+
+
+def block_tokens(docs: DataFrame, places: DataFrame, block: int = 512, doc_id: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(source, block, tokens): the token ids of each block."""
+    name = send_vocabulary(docs.sparkSession, vocabulary)
+    key = ["doc_id", "source", "text_hash"]
+    once = _texts(docs, doc_id, source, text).where("t is not null and source is not null").groupBy(*key).agg(F.first("t").alias("t"))  # repeated rows, in the join's exchange
+
+    def work(batches):
+        encode = tokenizer(name).encode_ordinary
+        for batch in batches:
+            out: list[tuple[str, int, int, np.ndarray]] = []
+            for s, t, first in zip(batch["source"], batch["t"], batch["first_token"]):
+                ids, at = np.array(encode(t), dtype=np.int32), 0
+                while at < len(ids):
+                    size = block - (first + at) % block
+                    out.append((s, (first + at) // block, (first + at) % block, ids[at : at + size]))
+                    at += size
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["source", "block", "at", "ids"])
+                    out = []
+            yield pd.DataFrame(out, columns=["source", "block", "at", "ids"])
+
+    pieces = once.join(places, key).select("source", "t", "first_token").mapInPandas(work, "source string, block long, at int, ids array<int>")
+    whole = pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))  # at most `block` pieces
+    return whole.select("source", "block", F.flatten(F.col("p.ids")).alias("tokens"))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -121,32 +163,58 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def mixture(counts: DataFrame, targets: DataFrame, block: int = 512, shards: int = 256, seed: int = 1, lane_tokens: int = 4_000_000, slots_a_row: int = 100_000) -> DataFrame:
-    """(shard, slot, source, repeat, block, n_tokens, spans): the blocks of the mixture, in order within a shard."""
-    spark = counts.sparkSession
-    blocks = pack(counts, block, lane_tokens)
+def drawn_counts(plan: DataFrame, slots: int, shard_blocks: int, seed: int) -> DataFrame:
+    """(shard, source, n): how many slots of each shard hold which source.  plan: (source, p), the p summing up to at most 1."""
+    spark = plan.sparkSession
+    shards = max(1, -(-slots // shard_blocks))
+    groups = max(1, -(-plan.count() // TARGETS_A_DRAW))
+    plan = plan.withColumn("group", F.pmod(F.xxhash64("source"), F.lit(groups)))
+    weights = {r["group"]: float(r["p"]) for r in plan.groupBy("group").agg(F.sum("p").alias("p")).collect()}  # a row for TARGETS_A_DRAW targets
+    at = sorted(g for g in weights if weights[g] > 0)
+    p = np.array([weights[g] for g in at])
+    p = np.append(p, max(0.0, 1.0 - p.sum())) / max(1.0, p.sum())
+
+    def of_groups(batches):
+        for b in batches:
+            rows = []
+            for i in b["id"]:
+                n = np.random.Generator(np.random.PCG64([seed, int(i)])).multinomial(slots // shards + (i < slots % shards), p)
+                rows += [(i, g, k) for g, k in zip(at, n.tolist()) if k]
+            yield pd.DataFrame(rows, columns=["shard", "group", "n"])
+
+    by_group = spark.range(shards).mapInPandas(of_groups, "shard long, group long, n long").withColumn("part", F.expr(f"shard div {SHARDS_A_TASK}"))
+    dealt = plan.where("p > 0").select("group", "source", "p", F.explode(F.expr(f"sequence(0L, {(shards - 1) // SHARDS_A_TASK}L)")).alias("part"))
+
+    def of_sources(n: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(n):
+            return pd.DataFrame([], columns=["shard", "source", "n"])
+        t = t.sort_values("source")
+        names, own = t["source"].to_numpy(), t["p"].to_numpy(dtype=float)
+        rows = []
+        for i, g, k in zip(n["shard"], n["group"], n["n"]):
+            got = np.random.Generator(np.random.PCG64([seed, int(i), int(g) + 1])).multinomial(k, own / own.sum())
+            rows += [(i, names[j], int(got[j])) for j in np.flatnonzero(got)]
+        return pd.DataFrame(rows, columns=["shard", "source", "n"])
+
+    return by_group.groupBy("group", "part").cogroup(dealt.groupBy("group", "part")).applyInPandas(of_sources, "shard long, source string, n long")
+
+
+def mixture(counts: DataFrame, targets: DataFrame, blocks: DataFrame, block: int = 512, shard_blocks: int = 4096, seed: int = 1, slots_a_row: int = 100_000) -> DataFrame:
+    """(shard, slot, source, repeat, block, n_tokens): which block each slot holds.  blocks: those of ``pack``."""
     n_blocks = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n_blocks"))
-    planned = mixing_plan(counts, targets).join(n_blocks, "source", "left")
-    if targets.count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    plan = sorted(planned.collect(), key=lambda r: r["source"])  # one row for each target
-    rng = np.random.Generator(np.random.PCG64(seed))
-    budget = max((float(r["budget_pct"]) / 100 * r["all_tokens"] for r in plan), default=0.0)
-    slots = int(np.ceil(budget / block))
-    cap = np.array([(r["max_repeats"] or 0) * (r["n_blocks"] or 0) for r in plan], dtype=np.int64)
-    # blocks of each source: its share, or what it can reach; what a short source lacks stays unfilled
-    total = max(1.0, sum(r["target_pct"] for r in plan) / 100)
-    blocks_of = np.minimum(np.array([round(slots * r["target_pct"] / 100 / total) for r in plan], dtype=np.int64), cap) if plan else cap
-    # dealt to the shards: a multinomial draw for each source, so that the shares are met exactly in sum
-    drawn = np.array([rng.multinomial(n, np.full(shards, 1.0 / shards)) for n in blocks_of], dtype=np.int64).reshape(len(plan), shards).T
-    first = np.cumsum(drawn, axis=0) - drawn
-    rows = []
-    for j, r in enumerate(plan):
-        for i in range(shards):
-            a, b = int(first[i, j]), int(min(first[i, j] + drawn[i, j], cap[j]))
-            rows += [(i, r["source"], int(r["n_blocks"]), x, min(x + slots_a_row, b)) for x in range(a, b, slots_a_row)]
-    ranges = spark.createDataFrame(rows, "shard int, source string, n_blocks long, first long, last long").repartition("shard", "source", "first")
-    slot = ranges.select("shard", "source", "n_blocks", F.explode(F.expr("sequence(first, last - 1)")).alias("slot"))
+    plan = mixing_plan(counts, targets).groupBy("source").agg(F.max(F.struct("target_pct", "max_repeats", "budget_pct")).alias("t"), F.max("all_tokens").alias("all_tokens"))
+    plan = plan.select("source", F.greatest("t.target_pct", F.lit(0)).alias("pct"), F.coalesce(F.greatest("t.max_repeats", F.lit(0)), F.lit(0)).alias("repeats"), (F.col("t.budget_pct") / 100 * F.col("all_tokens")).alias("budget"))
+    plan = cut(plan.join(n_blocks, "source", "left").withColumn("cap", F.col("repeats") * F.coalesce("n_blocks", F.lit(0))))  # a row for each target
+    whole = plan.agg(F.max("budget").alias("budget"), F.sum("pct").alias("pct")).first()
+    slots = int(np.ceil((whole["budget"] or 0.0) / block))
+    total = max(100.0, float(whole["pct"] or 0.0))
+    chance = F.least(F.col("pct") / total, F.col("cap") / max(slots, 1))  # a short source is spread over all shards
+    drawn = drawn_counts(plan.select("source", F.coalesce(chance, F.lit(0.0)).alias("p")), slots, shard_blocks, seed)
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan.select("source", "cap", "n_blocks"), "source")
+    ranges = ranges.withColumn("last", F.least(F.col("first") + F.col("n"), F.col("cap"))).where("last > first")
+    ranges = ranges.select("shard", "source", "n_blocks", "last", F.explode(F.expr(f"sequence(first, last - 1, {slots_a_row}L)")).alias("first"))
+    slot = ranges.select("shard", "source", "n_blocks", F.explode(F.expr(f"sequence(first, least(first + {slots_a_row}, last) - 1)")).alias("slot"))
 
     def place(batches):
         for b in batches:
@@ -156,17 +224,22 @@ def mixture(counts: DataFrame, targets: DataFrame, block: int = 512, shards: int
             key = key ^ (repeat * 1_000_003)
             yield b.assign(repeat=repeat, block=permuted(b["slot"].to_numpy() % b["n_blocks"].to_numpy(), b["n_blocks"].to_numpy(), key))[["shard", "slot", "source", "repeat", "block"]]
 
-    placed = slot.mapInPandas(place, "shard int, slot long, source string, repeat long, block long")
-    return placed.join(blocks, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "spans")
+    placed = slot.mapInPandas(place, "shard long, slot long, source string, repeat long, block long")
+    return placed.join(blocks, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens")
+
+
+def filled(mixed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(shard, slot, source, repeat, block, n_tokens, tokens): the mixture with the token ids of its blocks."""
+    return mixed.join(tokens, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "tokens")
 
 
 def mixture_report(counts: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_pct, tokens, mixed_tokens, actual_pct, most_repeats, short): actual shares of the mixture."""
+    """(source, target_pct, tokens, all_tokens, mixed_tokens, actual_pct, most_repeats, short): actual shares of the mixture."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
     all_ = got.agg(F.coalesce(F.sum("mixed_tokens"), F.lit(0)).alias("all_mixed"))
     report = mixing_plan(counts, targets).join(got, "source", "left").crossJoin(F.broadcast(all_))  # one row
     actual = F.coalesce(F.try_divide(F.col("mixed_tokens") * 100.0, F.col("all_mixed")), F.lit(0.0))
-    return report.select("source", "target_pct", "tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), actual.alias("actual_pct"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "short")
+    return report.select("source", "target_pct", "tokens", "all_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), actual.alias("actual_pct"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "short")
 
 
 def short_sources(counts: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
