@@ -46,7 +46,7 @@ def p2_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Per wave: distinct questions that first came with it, and how many of them the sample holds."""
     first = table(spark, sf, "request").groupBy(trimmed_lower(F.col("qid")).alias("qid")).agg(F.min("wave").alias("wave")).where("qid is not null")
     sample = p2_sample(spark, sf)
-    return first.join(sample, "qid", "left").groupBy("wave").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.col("origin") == "kept").alias("n_kept"), F.count_if(F.col("origin") == "drawn").alias("n_drawn"))
+    return first.join(sample, "qid", "left").groupBy("wave").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.col("origin") == "kept").alias("n_kept"), F.count_if(F.col("origin") != "kept").alias("n_drawn"))
 
 
 # --- 3: broken prompt and response pairs ------------------------------------
@@ -252,14 +252,16 @@ with r as ({' union all '.join(parts)}),
 
 
 def _p2_sql() -> str:
-    left, right = stable_sample.LEFT, stable_sample.RIGHT
-    letters = " + ".join(f"case when length(l) >= {i} then (ascii(substr(l, {i}, 1)) - 96)::hugeint * (27::hugeint ** (length(l) - {i}))::hugeint else 0 end" for i in range(1, stable_sample.LETTERS + 1))
+    left, right, form = stable_sample.LEFT, stable_sample.RIGHT, stable_sample.FORM
+    powers = ", ".join(f"{stable_sample.BASE**k}::hugeint" for k in range(stable_sample.LETTERS))
+    before = ", ".join(f"{n}::bigint" for n in stable_sample.BEFORE)
+    letters = " + ".join(f"case when length(l) >= {i} then strpos('{stable_sample.ALPHABET}', substr(l, {i}, 1)) * [{powers}][length(l) - {i} + 1] else 0 end" for i in range(1, stable_sample.LETTERS + 1))
     sql = f"""
 with ids as (select distinct {_LOW.format('qid')} as qid from request where {_LOW.format('qid')} is not null),
- parts as (select qid, regexp_extract(qid, '^([a-z]{{1,{stable_sample.LETTERS}}})_([0-9]{{{stable_sample.DIGITS}}})$', 1) as l, try_cast(regexp_extract(qid, '^([a-z]{{1,{stable_sample.LETTERS}}})_([0-9]{{{stable_sample.DIGITS}}})$', 2) as bigint) as r from ids),
- f0 as (select qid, ({letters})::bigint as a, r as b from parts)"""
+ parts as (select qid, coalesce(regexp_extract(qid, '{form}', 1), '') as l, regexp_extract(qid, '{form}', 2) as r from ids where regexp_matches(qid, '{form}')),
+ f0 as (select qid, ({letters})::bigint as a, r::bigint + [{before}][length(r)] as b from parts)"""
     for k in range(stable_sample.ROUNDS):
-        digest = lambda x, k=k: f"('0x' || substr(md5({x}::varchar || ':1:{k}'), 1, 12))::bigint"
+        digest = lambda x, k=k: f"('0x' || substr(md5({x}::varchar || ':1:{k}'), 1, 15))::bigint"
         step = f"(a + {digest('b')} % {left}) % {left} as a, b" if k % 2 == 0 else f"a, (b + {digest('a')} % {right}) % {right} as b"
         sql += f",\n f{k + 1} as (select qid, {step} from f{k})"
     bound = left * round(SAMPLE_RATE * 1_000_000) // 1_000_000
@@ -293,7 +295,7 @@ with d as (select distinct doc_id, {_LOW.format('source')} as source, text from
 
 _P2_GROWTH = f"""
 with first as (select {_LOW.format('qid')} as qid, min(wave) as wave from request where {_LOW.format('qid')} is not null group by 1), sample as ({_p2_sql()})
-select wave, count(*) as n_questions, count(*) filter (where origin = 'kept') as n_kept, count(*) filter (where origin = 'drawn') as n_drawn from first left join sample using (qid) group by wave"""
+select wave, count(*) as n_questions, count(*) filter (where origin = 'kept') as n_kept, count(*) filter (where origin <> 'kept') as n_drawn from first left join sample using (qid) group by wave"""
 
 ORACLES = {
     "p2_sample": _p2_sql(),

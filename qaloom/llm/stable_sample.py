@@ -6,15 +6,18 @@ the domain are the sample.  A row's fate depends on its identifier alone: no
 state, no order, no other rows, so every layout and rerun gives the same
 sample, and what was selected stays selected when rows are added.
 
-The domain of ``prefix_number`` identifiers has ``27 ** letters * 10 ** digits``
-numbers.  Letters are read in base 27 and the digits as they are, so different
-identifiers have different numbers, and the network works on the two parts as
-on mixed radix, so it is a permutation of just this domain: no collisions.
+The domain is fixed once and for all: a prefix of up to ``LETTERS`` characters
+of ``ALPHABET`` or none, and up to ``DIGITS`` digits.  Prefixes are read in base
+39, digit strings are numbered by length and value, so that leading zeros count;
+different identifiers have different numbers, however many digits they grow to.
+The network works on the two parts as on mixed radix, so it is a permutation of
+just this domain: no collisions.
 
 Defined results: identifiers are compared without outer white space and letter
 case, null and blank ones are no case, repeated ones count once.  An identifier
-of another form has no number of the domain; it is selected by a 60-bit hash
-against the same rate (stable, but not collision-free).  Extra columns are
+of another form (a longer prefix, more digits, other characters) has no number
+of the domain; it is selected by a 60-bit hash against the same rate, stable but
+not collision-free, and its origin says so: ``hashed``.  Extra columns are
 ignored and an empty table gives no rows.
 """
 
@@ -25,24 +28,29 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower
 
-LETTERS, DIGITS, ROUNDS = 8, 7, 6
-LEFT, RIGHT = 27**LETTERS, 10**DIGITS
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789_-"
+LETTERS, DIGITS, ROUNDS = 11, 18, 6
+BASE = len(ALPHABET) + 1
+LEFT, RIGHT = BASE**LETTERS, (10 ** (DIGITS + 1) - 10) // 9
+FORM = rf"^(?:([a-z0-9_-]{{1,{LETTERS}}})_)?([0-9]{{1,{DIGITS}}})$"
+#: Numbers that the digit strings of a length begin after, for the lengths from 1.
+BEFORE = tuple((10**n - 10) // 9 for n in range(1, DIGITS + 1))
 
 
-def _round(value: Column, key: str, size: int) -> Column:
-    """Pseudo-random number below ``size`` of a half and a round key: the first 48 bits of a digest."""
+def _hash(value: Column, key: str, size: int) -> Column:
+    """Pseudo-random number below ``size`` of a value and a key: the first 60 bits of a digest."""
     digest = F.md5(F.concat(value.cast("string"), F.lit(f":{key}")))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.lit(size)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.lit(size)
 
 
 def halves(identifier: Column) -> tuple[Column, Column]:
-    """Prefix in base 27 and number of an identifier ``prefix_number``; null for other forms."""
-    form = rf"^([a-z]{{1,{LETTERS}}})_([0-9]{{{DIGITS}}})$"
-    prefix = F.nullif(F.regexp_extract(identifier, form, 1), F.lit(""))
-    number = F.nullif(F.regexp_extract(identifier, form, 2), F.lit(""))
+    """Numbers of an identifier's prefix and digits; null for other forms."""
+    fits = identifier.rlike(FORM)
+    prefix, digits = F.regexp_extract(identifier, FORM, 1), F.regexp_extract(identifier, FORM, 2)
     letters = F.filter(F.split(prefix, ""), lambda c: c != "")
-    left = F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, c: acc * 27 + (F.ascii(c) - 96))
-    return left, F.when(number.isNotNull(), number.cast("bigint"))
+    left = F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, c: acc * BASE + F.position(c, F.lit(ALPHABET)))
+    before = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in BEFORE)), F.length(digits))
+    return F.when(fits, left), F.when(fits, digits.cast("bigint") + before)
 
 
 def with_permuted(rows: DataFrame, identifier: str, seed: str) -> DataFrame:
@@ -51,23 +59,23 @@ def with_permuted(rows: DataFrame, identifier: str, seed: str) -> DataFrame:
     rows = rows.withColumn("left", left).withColumn("right", right)
     for r in range(ROUNDS):
         if r % 2 == 0:
-            rows = rows.withColumn("left", (F.col("left") + _round(F.col("right"), f"{seed}:{r}", LEFT)) % F.lit(LEFT))
+            rows = rows.withColumn("left", (F.col("left") + _hash(F.col("right"), f"{seed}:{r}", LEFT)) % F.lit(LEFT))
         else:
-            rows = rows.withColumn("right", (F.col("right") + _round(F.col("left"), f"{seed}:{r}", RIGHT)) % F.lit(RIGHT))
+            rows = rows.withColumn("right", (F.col("right") + _hash(F.col("left"), f"{seed}:{r}", RIGHT)) % F.lit(RIGHT))
     return rows
 
 
 def stable_sample(rows: DataFrame, identifier: str, rate: float, seed: str = "1", keep: DataFrame | None = None, keep_identifier: str = "qid") -> DataFrame:
-    """(identifier, origin): ``kept`` if an earlier selection holds it, else ``drawn``."""
+    """(identifier, origin): ``kept`` if an earlier selection holds it, else ``drawn`` or ``hashed``."""
     share = round(rate * 1_000_000)  # the rate in millionths, so that the bound is a whole number
     ids = rows.select(trimmed_lower(F.col(identifier)).alias("id")).where("id is not null").distinct()
     drawn = with_permuted(ids, "id", seed)
     bound = LEFT * share // 1_000_000  # permuted number = left * RIGHT + right
-    other = F.conv(F.substring(F.md5(F.concat(F.col("id"), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("bigint") % F.lit(1_000_000) < share
+    other = _hash(F.col("id"), seed, 1_000_000) < share
     selected = F.when(F.col("left").isNull(), other).otherwise(F.col("left") < bound)
-    drawn = drawn.select("id", selected.alias("drawn"))
+    drawn = drawn.select("id", selected.alias("drawn"), F.when(F.col("left").isNull(), "hashed").otherwise("drawn").alias("how"))
     if keep is None:
-        return drawn.where("drawn").select(F.col("id").alias(identifier), F.lit("drawn").alias("origin"))
+        return drawn.where("drawn").select(F.col("id").alias(identifier), F.col("how").alias("origin"))
     kept = keep.select(trimmed_lower(F.col(keep_identifier)).alias("id")).where("id is not null").distinct().withColumn("kept", F.lit(True))
     both = drawn.join(kept, "id", "left").where("drawn or kept")
-    return both.select(F.col("id").alias(identifier), F.when(F.col("kept"), "kept").otherwise("drawn").alias("origin"))
+    return both.select(F.col("id").alias(identifier), F.when(F.col("kept"), F.lit("kept")).otherwise(F.col("how")).alias("origin"))
