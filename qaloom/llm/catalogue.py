@@ -102,6 +102,7 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 # --- 5: a sample matching target proportions --------------------------------
 
 FIELDS = {"request.procedure_type": "qid", "train_sft.dataset": "sample_id", "detailed_results.capability_group": "qid"}
+SAMPLES = {"p5_request_sample": "request.procedure_type", "p5_train_sample": "train_sft.dataset", "p5_results_sample": "detailed_results.capability_group"}
 
 
 def _field(spark: SparkSession, sf: str, field: str) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +128,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sample(field: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        found = proportional.proportional_sample(*_field(spark, sf, field))
+        records, targets = _field(spark, sf, field)
+        found = proportional.proportional_sample(cut(records), targets)  # the plan and both levels of the ranks read them
         return found.select(F.col("id").alias(FIELDS[field]), "category", "how")
 
     return query
@@ -138,8 +140,10 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for field in FIELDS:
         records, targets = _field(spark, sf, field)
-        drawn = proportional.proportional_sample(records, targets).groupBy("category").agg(F.count(F.lit(1)).alias("drawn"), F.count_if(F.col("how") == "floor").alias("by_floor"))
-        part = proportional.sampling_plan(records, targets).join(drawn, "category", "left").select(F.lit(field).alias("field_name"), F.col("label").alias("category"), "available", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("by_floor", F.lit(0)).alias("by_floor"), "met")
+        records = cut(records)  # read by the plan and by both levels of the ranks
+        planned = cut(proportional.sampling_plan(records, targets))  # a row for each target
+        drawn = proportional.proportional_sample(records, targets, planned=planned).groupBy("category").agg(F.count(F.lit(1)).alias("drawn"), F.count_if(F.col("how") == "floor").alias("by_floor"))
+        part = planned.join(drawn, "category", "left").select(F.lit(field).alias("field_name"), F.col("label").alias("category"), "available", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("by_floor", F.lit(0)).alias("by_floor"), "met")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -223,7 +227,7 @@ QUERIES = {
     "p2_sample": p2_sample, "p2_growth": p2_growth,
     "p3_found": p3_found, "p3_report": p3_report,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_report": p4_report,
-    "p5_found": p5_found, "p5_plan": p5_plan, "p5_request_sample": _sample("request.procedure_type"), "p5_train_sample": _sample("train_sft.dataset"), "p5_results_sample": _sample("detailed_results.capability_group"), "p5_report": p5_report,
+    "p5_found": p5_found, "p5_plan": p5_plan, **{name: _sample(field) for name, field in SAMPLES.items()}, "p5_report": p5_report,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report,
     "p8_found": p8_found, "p8_plan": p8_plan, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_bounds": p8_bounds,
     "p9_found": p9_found, "p9_restored": p9_restored, "p9_report": p9_report,
@@ -245,12 +249,29 @@ with r as ({' union all '.join(parts)}),
  a as (select field_name, count(*) as all_records from r group by 1),
  t as (select distinct *, {_LABEL.format('category')} as c from sample_target),
  p as (
-  select t.field_name, t.category, coalesce(n.available, 0) as available, coalesce(a.all_records, 0) as all_records,
+  select t.field_name, t.category, t.c, t.target_pct, t.sample_pct, t.min_rows, coalesce(n.available, 0) as available, coalesce(a.all_records, 0) as all_records,
     greatest(t.min_rows::bigint, (t.target_pct::bigint * t.sample_pct * coalesce(a.all_records, 0) + 9999) // 10000) as wanted
   from t left join a using (field_name) left join n on n.field_name = t.field_name and n.c = t.c)
 """
 
 
+# the sample's line: for each category its quota, where it begins, and its records by rank
+_P5_LINE = f""",
+ k as (select p.field_name, c, max(p.available) as available, max(p.wanted) as wanted, max({{'a': target_pct, 'b': sample_pct, 'c': min_rows}}) as m, max(p.all_records) as all_records
+  from p group by 1, 2),
+ q as (select field_name, c, available, wanted, least(available::hugeint * 10000, m.a::hugeint * m.b * all_records) as quota from k),
+ l as (select *, {proportional.start(1)} + coalesce(sum(quota) over (partition by field_name order by c rows between unbounded preceding and 1 preceding), 0) as base from q),
+ f as (select field_name, c, id, available, least(available, wanted) as floor,
+   (base * available + x * quota) // (available::hugeint * 10000) as here, (base * available + (x - 1) * quota) // (available::hugeint * 10000) as until,
+   base // 10000 as first, (base + quota) // 10000 as last, x
+  from (select r.field_name, r.id, l.c, l.available, l.wanted, l.quota, l.base,
+     row_number() over (partition by r.field_name, r.c order by ('0x' || substr(md5(r.id || ':1'), 1, 15))::bigint, r.id) as x
+    from r join l on r.field_name = l.field_name and r.c = l.c)),
+ drawn as (select field_name, c as category, id, case when here > until then 'crossing' else 'floor' end as how
+  from f where here > until or x - (here - first) <= floor - (last - first))
+"""
+
+
 def _p2_sql() -> str:
     left, right, form = stable_sample.LEFT, stable_sample.RIGHT, stable_sample.FORM
     powers = ", ".join(f"{stable_sample.BASE**k}::hugeint" for k in range(stable_sample.LETTERS))
@@ -305,5 +326,9 @@ ORACLES = {
     "p8_bounds": _P8 + "select source, short, true as repeats_kept, true as share_kept from s",
     "p4_found": _P4_FOUND,
     "p5_plan": _p5_plan_sql() + "select field_name, category, available, all_records, wanted, available >= wanted as met from p",
+    **{name: _p5_plan_sql() + _P5_LINE + f"select id as {FIELDS[field]}, category, how from drawn where field_name = '{field}'" for name, field in SAMPLES.items()},
+    "p5_report": _p5_plan_sql() + _P5_LINE + """,
+ d as (select field_name, category as c, count(*) as drawn, count(*) filter (where how = 'floor') as by_floor from drawn group by 1, 2)
+select field_name, category, available, wanted, coalesce(drawn, 0) as drawn, coalesce(by_floor, 0) as by_floor, available >= wanted as met from p left join d using (field_name, c)""",
     "p5_found": _p5_plan_sql() + "select distinct field_name, category from p where available < wanted",
 }

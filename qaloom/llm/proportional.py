@@ -21,6 +21,8 @@ taken whole and reported as not met.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,22 +52,29 @@ def sampling_plan(records: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.withColumn("met", F.col("available") >= F.col("wanted"))
 
 
-def proportional_sample(records: DataFrame, targets: DataFrame, seed: int = 1, bucket_rows: int = 50_000) -> DataFrame:
-    """(id, category, how): records drawn, ``crossing`` or ``floor``."""
+def start(seed: int) -> int:
+    """The random start of the sampling step, in 10000ths."""
+    return int(hashlib.md5(f"start:{seed}".encode()).hexdigest()[:12], 16) % 10_000
+
+
+def proportional_sample(records: DataFrame, targets: DataFrame, seed: int = 1, bucket_rows: int = 50_000, planned: DataFrame | None = None) -> DataFrame:
+    """(id, category, how): records drawn, ``crossing`` or ``floor``.  planned: the ``sampling_plan``, if it is there already."""
     records = records.select("id", "category").where("id is not null and category is not null")
+    planned = sampling_plan(records, targets) if planned is None else planned
     # N_c * 10000 * probability: of a short category everything is taken
-    plan = sampling_plan(records, targets).groupBy("category").agg(F.max("available").alias("available"), F.max("wanted").alias("wanted"), F.max(F.struct("target_pct", "sample_pct", "min_rows", "all_records")).alias("t"))
+    plan = planned.groupBy("category").agg(F.max("available").alias("available"), F.max("wanted").alias("wanted"), F.max(F.struct("target_pct", "sample_pct", "min_rows", "all_records")).alias("t"))
     quota = F.least(F.col("available").cast(_WHOLE) * 10000, F.col("t.target_pct").cast(_WHOLE) * F.col("t.sample_pct").cast("int") * F.col("t.all_records"))
     plan = plan.select("category", "available", F.coalesce(quota, F.lit(0)).cast(_WHOLE).alias("quota"), F.least("available", "wanted").alias("floor"))
     line = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)  # over the targets only
-    plan = plan.withColumn("base", F.coalesce(F.sum("quota").over(line), F.lit(0)).cast(_WHOLE) + F.pmod(F.xxhash64(F.lit(seed)), F.lit(10000)).cast(_WHOLE))
+    plan = plan.withColumn("base", F.coalesce(F.sum("quota").over(line), F.lit(0)).cast(_WHOLE) + F.lit(start(seed)).cast(_WHOLE))
     plan = plan.where("available > 0")
 
     small = targets.count() <= MOST_TARGETS
-    rows = records.join(F.broadcast(plan) if small else plan, "category").withColumn("order", F.xxhash64("id", F.lit(seed)))
+    order = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("bigint")  # 60 bits
+    rows = records.join(F.broadcast(plan) if small else plan, "category").withColumn("order", order)
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("available") / bucket_rows)).cast("bigint")
     # buckets are slices of the hash's range, so that their order is the order of the hash
-    rows = rows.withColumn("bucket", F.floor(F.shiftrightunsigned(F.col("order"), 33) * n_buckets / F.lit(float(2**31))).cast("bigint")).withColumn("order", F.shiftrightunsigned(F.col("order"), 1))
+    rows = rows.withColumn("bucket", F.floor(F.col("order") / F.lit(float(2**60)) * n_buckets).cast("bigint"))
     sizes = rows.groupBy("category", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("category").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("category", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
