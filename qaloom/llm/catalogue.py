@@ -79,8 +79,13 @@ def _linked(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(videos, "qid", "left")
 
 
+def p4_torn(spark: SparkSession, sf: str) -> DataFrame:
+    """Videos of linked groups that lie in several splits, with the number of splits of their own records."""
+    return group_splits.torn(_linked(spark, sf), "sample_id", "vkey", "split").select("component", F.col("entity").alias("vkey"), "n_splits")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return group_splits.torn(_linked(spark, sf), "sample_id", "vkey", "split").select(F.col("entity").alias("vkey"))
+    return p4_torn(spark, sf).where("n_splits > 1").select("vkey")
 
 
 def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,6 +104,14 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(whole, "dataset").select("dataset", "new_split", "n_records", (F.col("n_records") * 100.0 / F.col("n")).alias("share_pct"))
 
 
+def p4_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per dataset: records that got a split, and how many of them share a video with a record of another new split."""
+    new = cut(p4_splits(spark, sf))
+    rows = _linked(spark, sf).groupBy("sample_id").agg(F.min(F.coalesce("dataset", F.lit("(none)"))).alias("dataset"), F.min("vkey").alias("vkey")).join(new, "sample_id")
+    broken = rows.where("vkey is not null").groupBy("vkey").agg(F.count_distinct("new_split").alias("k")).where("k > 1")
+    return rows.join(broken, "vkey", "left").groupBy("dataset").agg(F.count(F.lit(1)).alias("n_records"), F.count("k").alias("n_torn"))
+
+
 # --- 5: a sample matching target proportions --------------------------------
 
 FIELDS = {"request.procedure_type": "qid", "train_sft.dataset": "sample_id", "detailed_results.capability_group": "qid"}
@@ -226,7 +239,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_report": p1_report,
     "p2_sample": p2_sample, "p2_growth": p2_growth,
     "p3_found": p3_found, "p3_report": p3_report,
-    "p4_found": p4_found, "p4_splits": p4_splits, "p4_report": p4_report,
+    "p4_found": p4_found, "p4_torn": p4_torn, "p4_totals": p4_totals, "p4_splits": p4_splits, "p4_report": p4_report,
     "p5_found": p5_found, "p5_plan": p5_plan, **{name: _sample(field) for name, field in SAMPLES.items()}, "p5_report": p5_report,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report,
     "p8_found": p8_found, "p8_plan": p8_plan, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_bounds": p8_bounds,
@@ -299,6 +312,20 @@ with v as (select distinct qid, {_VKEY} as vkey from request where {_VKEY} is no
 select vkey from train_sft join v using (qid) where {_LOW.format('split')} is not null
 group by vkey having count(distinct {_LOW.format('split')}) > 1"""
 
+_P4_TORN = f"""
+with recursive v as (select distinct qid, {_VKEY} as vkey from request where {_VKEY} is not null),
+ r as (select sample_id, {_LOW.format('split')} as split, vkey from train_sft join v using (qid)),
+ l as (select distinct sample_id, vkey from r where sample_id in (select sample_id from r group by 1 having count(distinct vkey) > 1)),
+ next as (select distinct a.vkey, b.vkey as other from l a join l b using (sample_id)),
+ reach as (select distinct vkey, vkey as c from r union select n.other, reach.c from reach join next n using (vkey)),
+ part as (select vkey, min(c) as component from reach group by vkey),
+ own as (select component, vkey, count(distinct split) as n_splits, min(split) as a, max(split) as b from r join part using (vkey) where split is not null group by 1, 2)
+select component, vkey, n_splits from own where component in (select component from own group by 1 having min(a) <> max(b))"""
+
+_P4_TOTALS = f"""
+select dataset, count(*) as n_records, 0 as n_torn
+from (select sample_id, min(coalesce({_LOW.format('dataset')}, '(none)')) as dataset from train_sft where sample_id is not null group by 1) group by dataset"""
+
 _P7_FOUND = r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as x from documents where text is not null and doc_id is not null),
  i as (select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as x from eval_item where text is not null and item_id is not null),
@@ -325,6 +352,8 @@ ORACLES = {
     "p8_found": _P8 + "select distinct source from s where short",
     "p8_bounds": _P8 + "select source, short, true as repeats_kept, true as share_kept from s",
     "p4_found": _P4_FOUND,
+    "p4_torn": _P4_TORN,
+    "p4_totals": _P4_TOTALS,
     "p5_plan": _p5_plan_sql() + "select field_name, category, available, all_records, wanted, available >= wanted as met from p",
     **{name: _p5_plan_sql() + _P5_LINE + f"select id as {FIELDS[field]}, category, how from drawn where field_name = '{field}'" for name, field in SAMPLES.items()},
     "p5_report": _p5_plan_sql() + _P5_LINE + """,

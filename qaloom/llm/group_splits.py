@@ -11,10 +11,12 @@ a hot entity costs one node per distinct neighbourhood.  Labels jump to their
 label's label each round, so chains need few rounds.  Each round is cut off with
 a reliable checkpoint.
 
-Assignment is greedy over units: each component that holds more than a
-``1 / heavy`` part of all records is a unit (there are fewer than ``heavy``),
-all others are hashed into ``units`` units.  So the driver handles at most
-``heavy + units`` units times ``max_labels + 1`` labels, whatever the data.
+Assignment is greedy over units.  Up to ``heavy + units`` components are a unit
+each.  Beyond that, each component that holds more than a ``1 / heavy`` part of
+all records is a unit (there are fewer than ``heavy``), all others are hashed
+into ``units`` units.  Labels beyond the ``max_labels`` most frequent are hashed
+into as many groups, each balanced on its own.  So the driver handles at most
+``heavy + units`` units times ``2 * max_labels`` labels, whatever the data.
 """
 
 from __future__ import annotations
@@ -55,19 +57,19 @@ def components(edges: DataFrame, record: str = "record", entity: str = "entity")
 
 
 def torn(records: DataFrame, record: str, entity: str, split: str) -> DataFrame:
-    """(entity): entities whose records lie in more than one split today.
+    """(component, entity, n_splits): the entities of components that lie in more than one split today.
 
-    Components that hold several splits are the candidates, an exact count for
-    each of their entities follows.  Null entities and splits make no case.
-    Rows with a null record link no entities, but their splits count; an entity
-    that has only such rows is its own component.
+    ``n_splits`` counts the splits of the entity's own records: linked records
+    can tear a component none of whose entities is torn itself.  Null entities
+    and splits make no case.  Rows with a null record link no entities, but
+    their splits count; an entity that has only such rows is its own component.
     """
     records = cut(records.select(record, entity, split))  # read by the graph and by the counts
-    pairs = records.where(F.col(entity).isNotNull() & F.col(split).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(split).alias("split")).agg(F.lit(1).alias("one")).drop("one")
-    parts = components(records, record, entity)
-    several = lambda rows, key: rows.groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select(key)
-    known = pairs.join(parts, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
-    return several(known.join(several(known, "component"), "component", "left_semi"), "entity")
+    pairs = records.where(F.col(entity).isNotNull() & F.col(split).isNotNull()).select(F.col(entity).alias("entity"), F.col(split).alias("split")).distinct()
+    own = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_splits"), F.min("split").alias("a"), F.max("split").alias("b"))
+    known = own.join(components(records, record, entity), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+    several = known.groupBy("component").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("component")
+    return known.join(several, "component", "left_semi").select("component", "entity", "n_splits")
 
 
 def assign(sizes: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -100,7 +102,6 @@ def group_splits(records: DataFrame, shares: dict[str, float], record: str = "re
 
     A record with several entities has the component of all of them.  A null
     entity makes the record a component of its own; a null label is a label.
-    Beyond the ``max_labels`` most frequent, labels are balanced together.
     """
     if not shares:
         raise ValueError("no splits to assign to")
@@ -110,17 +111,23 @@ def group_splits(records: DataFrame, shares: dict[str, float], record: str = "re
     linked = rows.join(parts, "entity", "left").groupBy("record").agg(F.min("component").alias("component"), F.min("label").alias("label"))
     linked = cut(linked.select("record", F.coalesce("component", F.concat(F.lit("record:"), F.col("record").cast("string"))).alias("component"), "label"))
 
-    counts = linked.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    total = linked.count()
+    counts = cut(linked.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")))
     whole = counts.groupBy("component").agg(F.sum("n").alias("size"))
-    large = [r["component"] for r in whole.where(F.col("size") * heavy > total).collect()]  # fewer than `heavy` by their size
+    sums = whole.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    own = F.concat(F.lit("c:"), F.col("component"))
+    if sums["n"] <= heavy + units:
+        unit = own
+    else:
+        large = [r["component"] for r in whole.where(F.col("size") * heavy > sums["size"]).collect()]  # fewer than `heavy` by their size
+        lump = F.concat(F.lit("u:"), F.pmod(F.xxhash64("component"), F.lit(units)).cast("string"))
+        unit = F.when(F.col("component").isin(large), own).otherwise(lump) if large else lump
     top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()]
-    unit = F.when(F.col("component").isin(large), F.concat(F.lit("c:"), F.col("component"))).otherwise(F.concat(F.lit("u:"), F.pmod(F.xxhash64("component"), F.lit(units)).cast("string"))) if large else F.concat(F.lit("u:"), F.pmod(F.xxhash64("component"), F.lit(units)).cast("string"))
-    kept = F.when(F.col("label").isin(top), F.col("label")) if top else F.lit(None).cast("string")
+    rest = F.concat(F.lit("h:"), F.pmod(F.xxhash64("label"), F.lit(max_labels)).cast("string"))
+    kept = F.when(F.col("label").isin(top), F.concat(F.lit("l:"), F.col("label"))).otherwise(rest) if top else rest
     table = counts.groupBy(unit.alias("unit"), kept.alias("label")).agg(F.sum("n").alias("n")).collect()  # bounded, see above
-    names = sorted({r["unit"] for r in table})
-    labels = {x: i for i, x in enumerate([*top, None])}
-    sizes = np.zeros((len(names), len(labels)))
+    names, kinds = sorted({r["unit"] for r in table}), sorted({r["label"] for r in table})
+    labels = {x: i for i, x in enumerate(kinds)}
+    sizes = np.zeros((len(names), max(len(labels), 1)))
     at = {u: i for i, u in enumerate(names)}
     for r in table:
         sizes[at[r["unit"]], labels[r["label"]]] += r["n"]

@@ -74,15 +74,25 @@ def test_assignment_balances_labels():
 def test_torn_entities(spark):
     rows = [("1", "v", "train"), ("2", "v", "test"), ("3", "w", "train"), ("4", "w", None), ("5", None, "val"), ("6", "w", "train"), ("6", "x", "train"), ("7", "x", "val")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "record string, entity string, split string, component int")
-    assert sorted(r[0] for r in g.torn(df, "record", "entity", "split").collect()) == ["v", "x"]
+    # w lies in train only, but a record links it to x
+    assert sorted(tuple(r) for r in g.torn(df, "record", "entity", "split").collect()) == [("v", "v", 2), ("w", "w", 1), ("w", "x", 2)]
     assert g.torn(df.where(F.lit(False)), "record", "entity", "split").count() == 0
 
 
 def test_torn_entities_of_null_records(spark):
     rows = [(None, "v", "train"), (None, "v", "test"), ("1", "w", "train"), (None, "w", "test"), (None, "x", "val"), (None, "x", "val"), (None, None, "test")]
     df = spark.createDataFrame(rows, "record string, entity string, split string")
-    assert sorted(r[0] for r in g.torn(df, "record", "entity", "split").collect()) == ["v", "w"]
+    assert sorted(tuple(r) for r in g.torn(df, "record", "entity", "split").collect()) == [("v", "v", 2), ("w", "w", 2)]
 
 
 def test_empty_table(spark):
     assert g.group_splits(spark.createDataFrame([], SCHEMA), {"a": 1.0}).count() == 0
+
+
+def test_many_components_and_labels(spark):
+    """Beyond the bounds small components go in lumps and rare labels in groups, but nothing is torn and shares hold."""
+    rows = [(f"r{i}", f"v{i % 700}" if i % 3 else "hot", f"l{i % 40}", 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r["record"]: (r["component"], r["new_split"]) for r in g.group_splits(df, {"train": 70, "test": 30}, heavy=20, units=64, max_labels=5).collect()}
+    assert len(out) == 4000 and len({x for x in out.values()}) == len({c for c, _ in out.values()})
+    assert abs(sum(s == "train" for _, s in out.values()) / 4000 - 0.7) < 0.05
