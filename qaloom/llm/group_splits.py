@@ -8,8 +8,8 @@ meet the wanted shares and every label is spread over the splits alike.
 Scale: a record with one entity can't join components, so labels run only over
 records with several; of these, records with the same entities are one node, so
 a hot entity costs one node per distinct neighbourhood.  Labels jump to their
-label's label each round, so chains need few rounds.  Each round is cut off with
-a reliable checkpoint.
+label's label each round, so chains need few rounds.  Each round is
+written to the checkpoint folder, and the round before it released.
 
 Assignment is greedy over units.  Up to ``heavy + units`` components are a unit
 each.  Beyond that, each component that holds more than a ``1 / heavy`` part of
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.operators.lineage import cut
+from qaloom.operators.lineage import cut, release
 
 
 def components(edges: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
@@ -42,7 +42,7 @@ def components(edges: DataFrame, record: str = "record", entity: str = "entity")
     if links.isEmpty():
         return entities.select("entity", F.col("entity").alias("component"))
     links = cut(links)
-    labels = cut(links.select("entity").distinct().withColumn("component", F.col("entity")))
+    held = labels = cut(links.select("entity").distinct().withColumn("component", F.col("entity")))
     while True:
         of_node = links.join(labels, "entity").groupBy("node").agg(F.min("component").alias("c"))
         near = links.join(of_node, "node").groupBy("entity").agg(F.min("c").alias("c"))
@@ -50,7 +50,8 @@ def components(edges: DataFrame, record: str = "record", entity: str = "entity")
         new = labels.join(near, "entity").join(jump, "c").select("entity", F.least("component", "c", "jumped").alias("component"), (F.least("component", "c", "jumped") != F.col("component")).alias("changed"))
         new = cut(new)
         moved = not new.where("changed").isEmpty()
-        labels = new.select("entity", "component")
+        release(held)
+        held, labels = new, new.select("entity", "component")
         if not moved:
             break
     return entities.join(labels, "entity", "left").select("entity", F.coalesce("component", "entity").alias("component"))
