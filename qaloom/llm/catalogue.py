@@ -28,6 +28,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b")).distinct()
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of classes of equal records, a class named by its least id, with the numbers of its records."""
+    links, members = cross_split.linked_classes(table(spark, sf, "train_sft"))
+    named = cut(members.groupBy("side", "class").agg(F.min("id").alias("name"), F.count_distinct("id").alias("n")))
+    of = lambda side, x: named.where(F.col("side") == side).select(F.col("class").alias(f"class_{x}"), F.col("name").alias(f"{x}_class"), F.col("n").alias(f"n_{x}"))
+    return links.join(of(0, "train"), "class_train").join(of(1, "eval"), "class_eval").select("train_class", "eval_class", "n_train", "n_eval", "edits")
+
+
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of linked classes with their class."""
+    _, members = cross_split.linked_classes(table(spark, sf, "train_sft"))
+    members = cut(members)
+    named = members.groupBy("side", "class").agg(F.min("id").alias("class_name"))
+    return members.join(named, ["side", "class"]).select(F.col("id").alias("sample_id"), "split", F.when(F.col("side") == 0, "train").otherwise("eval").alias("side"), "class_name")
+
+
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per evaluation split and dataset: pairs, evaluation records concerned, exact pairs."""
     datasets = table(spark, sf, "train_sft").groupBy(F.col("sample_id").alias("eval_id")).agg(F.min(trimmed_lower(F.col("dataset"))).alias("dataset"))
@@ -236,7 +252,7 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_report": p1_report,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_classes": p1_classes, "p1_members": p1_members, "p1_report": p1_report,
     "p2_sample": p2_sample, "p2_growth": p2_growth,
     "p3_found": p3_found, "p3_report": p3_report,
     "p4_found": p4_found, "p4_torn": p4_torn, "p4_totals": p4_totals, "p4_splits": p4_splits, "p4_report": p4_report,

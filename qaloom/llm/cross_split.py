@@ -8,14 +8,20 @@ equal pairs of (answer, segment) meet, the position is checked, and a banded
 dynamic programme verifies each surviving pair.
 
 Which ``k + 1`` segments are cut is free as long as they are disjoint, so a
-dynamic programme takes those that are rarest in training (counted over all
-rows): hot phrases are avoided, and no pair is lost.  Texts that are equal on
-both sides form one class each; only classes are compared.
+dynamic programme takes those that are rarest in training: hot phrases are
+avoided, and no pair is lost.  Rarity is read from a table of ``COUNTERS``
+counters over all training substrings, filled in the tasks.  Substrings that no
+evaluation text has cut can't meet anything; most are dropped where they arise
+by a bitmap of at most ``MOST_BITS`` bits of the segments cut.  Where there are
+more segments than it can hold it lets more through, and the join decides.
+
+Texts that are equal on one side form one class; only classes are compared.
+A class is one row of the written texts, found by a 128-bit digest of answer and
+text, and texts are exchanged only to be compared.
 
 Defined results: rows without id or split, and splits other than the given
 ones, make no case; a null text has no words and equals another without words;
 repeated rows count once; extra columns are ignored; an empty side gives no rows.
-Classes are named by 64-bit hashes of (answer, text).
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ from qaloom.operators.lineage import cut
 
 SEGMENT = 5  # words; shorter for short texts, see segment_length
 STRETCH = 1000  # words that segments are chosen in together
+COUNTERS = 1 << 18
+MOST_BITS = 1 << 27
 
 
 def edits_allowed(n: int, m: int, per: int = 10) -> int:
@@ -143,7 +151,6 @@ def within_edits(left: list[np.ndarray], right: list[np.ndarray], limit: np.ndar
     column = steps[None, :] - band
     lengths = m[live][:, None]
     row = np.where((column >= 0) & (column <= lengths), column, far).astype(np.int32)
-    at_end = np.where(n[live] == 0, 0, -1)
     result = np.where(n[live] == 0, m[live], far).astype(np.int64)
     for i in range(1, rows + 1):
         j = column + i
@@ -158,85 +165,135 @@ def within_edits(left: list[np.ndarray], right: list[np.ndarray], limit: np.ndar
         if ended.any():
             c = (m[live] - i + band)[ended]
             result[ended] = row[np.flatnonzero(ended), c]
-    del at_end
     out[live] = np.where(result <= limit[live], result, -1)
     return out
 
 
-def classes(records: DataFrame, record_id: str, split: str, text: str, answer: str, train: str, evaluation: tuple[str, ...]) -> DataFrame:
-    """(id, split, side, class, answer_hash, words): sides are 0 for training and 1 for evaluation."""
-    rows = records.select(F.col(record_id).alias("id"), trimmed_lower(F.col(split)).alias("split"), F.col(text).alias("t"), F.col(answer).alias("a"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("split").isin(train, *evaluation)).distinct()
-    rows = rows.select("id", "split", F.when(F.col("split") == train, 0).otherwise(1).alias("side"), word_text(F.col("t")).alias("words"), word_text(F.col("a")).alias("answer"))
-    return rows.select("id", "split", "side", F.xxhash64("answer", "words").alias("class"), F.xxhash64("answer").alias("answer_hash"), "words")
+def texts(records: DataFrame, record_id: str, split: str, text: str, answer: str, train: str, evaluation: tuple[str, ...]) -> DataFrame:
+    """(row, id, split, side, class_key, answer_key, words), written once: sides are 0 for training and 1 for evaluation."""
+    rows = records.select(F.col(record_id).alias("id"), trimmed_lower(F.col(split)).alias("split"), word_text(F.col(text)).alias("words"), word_text(F.col(answer)).alias("answer"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("split").isin(train, *evaluation))
+    side = F.when(F.col("split") == train, 0).otherwise(1)
+    class_key = F.unhex(F.md5(F.concat_ws("|", "answer", "words")))  # words hold no mark
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "id", "split", side.alias("side"), class_key.alias("class_key"), F.unhex(F.md5("answer")).alias("answer_key"), "words"))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(class, side, class_key, answer_key, words), written: one row for each text of a side whose answer both sides have."""
+    each = rows.groupBy("side", "class_key").agg(F.min("row").alias("class"), F.min("answer_key").alias("answer_key"))
+    both = each.groupBy("answer_key").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("answer_key")
+    live = cut(each.join(both, "answer_key", "left_semi").select("class"))
+    return cut(rows.join(live, F.col("row") == F.col("class")).select("class", "side", "class_key", "answer_key", "words"))
+
+
+def _salt(answer_key: bytes) -> int:
+    return int.from_bytes(answer_key[:8], "big")
+
+
+def _offers(batch: pd.DataFrame, numbers: _Words, per: int):
+    """(class, words, hashes of the substrings) of training texts, once for each segment length in question."""
+    for c, answer, words in zip(batch["class"], batch["answer_key"], batch["words"]):
+        x = numbers.numbers(words)
+        for size in partner_segment_lengths(len(x), per):
+            h = gram_hashes(x, size, _salt(answer))
+            if len(h):
+                yield c, len(x), h
+
+
+def substring_counts(train: DataFrame, per: int) -> np.ndarray:
+    """Occurrences of all training substrings in ``COUNTERS`` counters by hash."""
+
+    def work(batches):
+        numbers, total = _Words(), np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            found = [h for _, _, h in _offers(batch, numbers, per)]
+            if found:
+                total += np.bincount(np.concatenate(found) & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": at, "n": total[at]})
+
+    sums = train.select("class", "answer_key", "words").mapInPandas(work, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[sums["counter"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    return out
 
 
-def _grams(side: DataFrame, of_training: bool, per: int) -> DataFrame:
-    """(gram, class, at, n): substrings offered by a text; of training texts one set for each segment length in question."""
+def cut_segments(held: DataFrame, counts: np.ndarray, per: int) -> DataFrame:
+    """(gram, class, at, n): the rarest disjoint segments of each evaluation class, without those that training lacks for sure."""
+    counters = held.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches):
         numbers = _Words()
         for batch in batches:
-            parts: list[tuple[np.ndarray, int, int]] = []
-            for c, salt, words in zip(batch["class"], batch["answer_hash"], batch["words"]):
+            by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for c, answer, words in zip(batch["class"], batch["answer_key"], batch["words"]):
                 x = numbers.numbers(words)
-                sizes = partner_segment_lengths(len(x), per) if of_training else (segment_length(len(x), per),)
-                parts += [(gram_hashes(x, s, int(salt)), int(c), len(x)) for s in sizes if s]
-            parts = [p for p in parts if len(p[0])]
-            for i in range(0, len(parts), 500):
-                some = parts[i : i + 500]
-                lengths = [len(p[0]) for p in some]
-                yield pd.DataFrame({"gram": np.concatenate([p[0] for p in some]), "class": np.repeat([p[1] for p in some], lengths), "at": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]), "n": np.repeat(np.array([p[2] for p in some], dtype=np.int32), lengths)})
+                if size := segment_length(len(x), per):
+                    by_length.setdefault(len(x), []).append((c, gram_hashes(x, size, _salt(answer))))
+            for n, same in by_length.items():  # texts of one length are worked on together
+                size, number = segment_length(n, per), most_edits(n, per) + 1
+                step = max(1, 2_000_000 // (n * (number + 1)))
+                for i in range(0, len(same), step):
+                    grams = np.stack([g for _, g in same[i : i + step]])
+                    costs = counters.value[grams & (COUNTERS - 1)]
+                    row, at = np.nonzero(rarest_segments(costs, size, number) & (costs > 0))
+                    yield pd.DataFrame({"gram": grams[row, at], "class": np.array([c for c, _ in same[i : i + step]])[row], "at": at.astype(np.int32), "n": np.full(len(at), n, dtype=np.int32)})
 
-    return side.select("class", "answer_hash", "words").mapInPandas(work, "gram long, class long, at int, n int")
+    return held.select("class", "answer_key", "words").mapInPandas(work, "gram long, class long, at int, n int")
+
+
+def bitmap(segments: DataFrame) -> np.ndarray:
+    """Bits, in bytes, at the hashes of the segments; a power of two of at most ``MOST_BITS``, 16 for each segment below that."""
+    n = segments.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    place = F.shiftrightunsigned("gram", 20).bitwiseAND(F.lit(bits - 1))
+    words = segments.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
+    rows = words.toPandas()  # at most MOST_BITS / 32 rows
+    out = np.zeros(bits >> 5, dtype=np.uint32)
+    out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
 
 
-def _chosen(offered: DataFrame, training: DataFrame, per: int) -> DataFrame:
-    """(gram, class, at, n): the rarest disjoint segments of each evaluation class, without those that training lacks."""
-    counts = training.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    known = offered.join(counts, "gram", "left").select("class", F.struct("at", "gram", F.coalesce("df", F.lit(0)).alias("df")).alias("g"), "n")
-    per_text = known.groupBy("class", "n").agg(F.sort_array(F.collect_list("g")).alias("g"))  # as many entries as the text has words
-    per_text = per_text.select("class", "n", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"))  # plain arrays cross to Python as vectors
+def offered(train: DataFrame, marked: np.ndarray, per: int) -> DataFrame:
+    """(gram, class, at, n): substrings of training texts that the bitmap lets through."""
+    bits = train.sparkSession.sparkContext.broadcast(marked)
 
     def work(batches):
+        numbers, words = _Words(), bits.value
+        last = np.uint64(len(words) * 32 - 1)
         for batch in batches:
-            for n, same in batch.groupby("n"):  # texts of one length are worked on together
-                n = int(n)
-                size, number = segment_length(n, per), most_edits(n, per) + 1
-                for i in range(0, len(same), max(1, 2_000_000 // (n * (number + 1)))):
-                    some = same.iloc[i : i + max(1, 2_000_000 // (n * (number + 1)))]
-                    costs, grams = np.stack(some["df"].to_numpy()).astype(np.int64), np.stack(some["gram"].to_numpy())
-                    row, at = np.nonzero(rarest_segments(costs, size, number) & (costs > 0))
-                    yield pd.DataFrame({"gram": grams[row, at], "class": some["class"].to_numpy()[row], "at": at.astype(np.int32), "n": np.full(len(at), n, dtype=np.int32)})
+            parts = list(_offers(batch, numbers, per))
+            for i in range(0, len(parts), 2000):
+                some = parts[i : i + 2000]
+                sizes = [len(h) for _, _, h in some]
+                gram = np.concatenate([h for _, _, h in some])
+                place = (gram.view(np.uint64) >> np.uint64(20)) & last
+                keep = (words[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 > 0
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                yield pd.DataFrame({"gram": gram[keep], "class": np.repeat([c for c, _, _ in some], sizes)[keep], "at": at[keep], "n": np.repeat(np.array([n for _, n, _ in some], dtype=np.int32), sizes)[keep]})
 
-    return per_text.mapInPandas(work, "gram long, class long, at int, n int")
+    return train.select("class", "answer_key", "words").mapInPandas(work, "gram long, class long, at int, n int")
 
 
 def near_pairs(classes_: DataFrame, per: int = 10) -> DataFrame:
     """(class_train, class_eval, edits): pairs of classes with the same answer whose texts are within a tenth of edits."""
-    # only answers that both sides have can meet
-    answers = classes_.groupBy("answer_hash").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("answer_hash")
-    # a class has one answer and one text, so any row's will do; written once, as many branches read them
-    sides = classes_.join(answers, "answer_hash", "left_semi").groupBy("side", "class").agg(F.first("answer_hash").alias("answer_hash"), F.first("words").alias("words"))
-    sides = cut(sides)
-    train, held = sides.where("side = 0").drop("side"), sides.where("side = 1").drop("side")
-    equal = train.select(F.col("class").alias("class_train")).join(held.select(F.col("class").alias("class_eval")), F.col("class_train") == F.col("class_eval")).withColumn("edits", F.lit(0).cast("bigint"))
-    offered = _grams(train, True, per)
-    chosen = _chosen(_grams(held, False, per), offered, per)
-    a, b = offered.alias("a"), chosen.alias("b")
+    train, held = classes_.where("side = 0"), classes_.where("side = 1")
+    equal = train.select(F.col("class").alias("class_train"), "class_key").join(held.select(F.col("class").alias("class_eval"), "class_key"), "class_key").select("class_train", "class_eval", F.lit(0).cast("bigint").alias("edits"))
+    segments = cut(cut_segments(held, substring_counts(train, per), per))
+    a, b = offered(train, bitmap(segments), per).alias("a"), segments.alias("b")
     limit = F.floor(F.greatest("a.n", "b.n") / per)
-    met = a.join(b, F.col("a.gram") == F.col("b.gram")).where((F.abs(F.col("a.at") - F.col("b.at")) <= limit) & (F.abs(F.col("a.n") - F.col("b.n")) <= limit) & (F.col("a.class") != F.col("b.class")))
-    pairs = met.select(F.col("a.class").alias("class_train"), F.col("b.class").alias("class_eval")).distinct()
-    texts = lambda s, c: s.select(F.col("class").alias(c), F.col("words").alias(f"words_{c}"))
-    whole = pairs.join(texts(train, "class_train"), "class_train").join(texts(held, "class_eval"), "class_eval")
+    met = a.join(b, F.col("a.gram") == F.col("b.gram")).where((F.abs(F.col("a.at") - F.col("b.at")) <= limit) & (F.abs(F.col("a.n") - F.col("b.n")) <= limit))
+    pairs = cut(met.select(F.col("a.class").alias("class_train"), F.col("b.class").alias("class_eval")).distinct())
+    of = lambda s, x: s.select(F.col("class").alias(f"class_{x}"), F.col("class_key").alias(f"key_{x}"), F.col("answer_key").alias(f"answer_{x}"), F.col("words").alias(f"words_{x}"))
+    whole = pairs.join(of(train, "train"), "class_train").join(of(held, "eval"), "class_eval").where("answer_train = answer_eval and key_train <> key_eval")
 
     def verify(batches):
         numbers = _Words()
         for batch in batches:
             if not len(batch):
                 continue
-            left = [numbers.numbers(t) for t in batch["words_class_train"]]
-            right = [numbers.numbers(t) for t in batch["words_class_eval"]]
+            left = [numbers.numbers(t) for t in batch["words_train"]]
+            right = [numbers.numbers(t) for t in batch["words_eval"]]
             edits = np.full(len(batch), -1, dtype=np.int64)
             order = np.argsort([max(len(x), len(y)) for x, y in zip(left, right)], kind="stable")
             at = 0
@@ -249,14 +306,29 @@ def near_pairs(classes_: DataFrame, per: int = 10) -> DataFrame:
             keep = edits >= 0
             yield pd.DataFrame({"class_train": batch["class_train"][keep], "class_eval": batch["class_eval"][keep], "edits": edits[keep]})
 
-    return equal.unionByName(whole.mapInPandas(verify, "class_train long, class_eval long, edits long"))
+    checked = whole.select("class_train", "class_eval", "words_train", "words_eval").mapInPandas(verify, "class_train long, class_eval long, edits long")
+    return equal.unionByName(checked)
+
+
+def linked_classes(records: DataFrame, record_id: str = "sample_id", split: str = "split", text: str = "user_text", answer: str = "assistant_text", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), per: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Links (class_train, class_eval, edits) of classes that match, and members (id, split, side, class) of these classes.
+
+    This is the whole result without copies multiplied out.
+    """
+    rows = texts(records, record_id, split, text, answer, train, evaluation)
+    sides = classes(rows)
+    links = cut(near_pairs(sides, per))
+    linked = links.select(F.col("class_train").alias("class")).union(links.select("class_eval")).distinct()
+    named = sides.join(linked, "class", "left_semi").select("side", "class_key", "class")
+    members = rows.select("id", "split", "side", "class_key").distinct().join(named, ["side", "class_key"]).select("id", "split", "side", "class")
+    return links, members
 
 
 def cross_split_overlaps(records: DataFrame, record_id: str = "sample_id", split: str = "split", text: str = "user_text", answer: str = "assistant_text", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), per: int = 10) -> DataFrame:
     """(train_id, eval_id, eval_split, edits): all pairs of records, one of training and one of an evaluation split."""
-    rows = cut(classes(records, record_id, split, text, answer, train, evaluation))  # words are found once
-    members = rows.select("id", "split", "side", "class").distinct()
+    links, members = linked_classes(records, record_id, split, text, answer, train, evaluation, per)
+    members = cut(members)
     a = members.where("side = 0").select(F.col("id").alias("train_id"), F.col("class").alias("class_train"))
     b = members.where("side = 1").select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("class").alias("class_eval"))
-    pairs = near_pairs(rows, per).join(a, "class_train").join(b, "class_eval")
+    pairs = links.join(a, "class_train").join(b, "class_eval")
     return pairs.where("train_id <> eval_id").groupBy("train_id", "eval_id", "eval_split").agg(F.min("edits").alias("edits"))

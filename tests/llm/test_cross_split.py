@@ -105,6 +105,25 @@ def test_all_pairs_against_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_small_counters_and_bitmaps_lose_nothing(spark, monkeypatch):
+    rows = rows_with_edits(9, 40)
+    monkeypatch.setattr(c, "COUNTERS", 8)
+    monkeypatch.setattr(c, "MOST_BITS", 1 << 6)
+    got = {(r[0], r[1]) for r in c.cross_split_overlaps(frame(spark, rows)).select("train_id", "eval_id").collect()}
+    assert got == expected(rows)
+
+
+def test_classes_and_members_hold_all_pairs(spark):
+    rows = rows_with_edits(7, 30)
+    rows += [(f"copy{i}", s, u, a) for i, (_, s, u, a) in enumerate(rows)]
+    links, members = c.linked_classes(frame(spark, rows))
+    of = {}
+    for r in members.collect():
+        of.setdefault((r["side"], r["class"]), set()).add(r["id"])
+    got = {(i, j) for r in links.collect() for i in of[0, r["class_train"]] for j in of[1, r["class_eval"]]}
+    assert got == expected(rows)
+
+
 def test_empty_and_one_sided(spark):
     assert c.cross_split_overlaps(frame(spark, [])).count() == 0
     assert c.cross_split_overlaps(frame(spark, [("a", "train", "x y", "z"), ("b", "train", "x y", "z")])).count() == 0
