@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower, word_text
+from qaloom.llm.bitmaps import bitmap, marked_in
 from qaloom.operators.lineage import cut
 
 SEGMENT = 5  # words; shorter for short texts, see segment_length
@@ -242,33 +243,19 @@ def cut_segments(held: DataFrame, counts: np.ndarray, per: int) -> DataFrame:
     return held.select("class", "answer_key", "words").mapInPandas(work, "gram long, class long, at int, n int")
 
 
-def bitmap(segments: DataFrame) -> np.ndarray:
-    """Bits, in bytes, at the hashes of the segments; a power of two of at most ``MOST_BITS``, 16 for each segment below that."""
-    n = segments.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-    place = F.shiftrightunsigned("gram", 20).bitwiseAND(F.lit(bits - 1))
-    words = segments.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
-    rows = words.toPandas()  # at most MOST_BITS / 32 rows
-    out = np.zeros(bits >> 5, dtype=np.uint32)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
-
-
 def offered(train: DataFrame, marked: np.ndarray, per: int) -> DataFrame:
     """(gram, class, at, n): substrings of training texts that the bitmap lets through."""
     bits = train.sparkSession.sparkContext.broadcast(marked)
 
     def work(batches):
         numbers, words = _Words(), bits.value
-        last = np.uint64(len(words) * 32 - 1)
         for batch in batches:
             parts = list(_offers(batch, numbers, per))
             for i in range(0, len(parts), 2000):
                 some = parts[i : i + 2000]
                 sizes = [len(h) for _, _, h in some]
                 gram = np.concatenate([h for _, _, h in some])
-                place = (gram.view(np.uint64) >> np.uint64(20)) & last
-                keep = (words[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 > 0
+                keep = marked_in(words, gram)
                 at = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
                 yield pd.DataFrame({"gram": gram[keep], "class": np.repeat([c for c, _, _ in some], sizes)[keep], "at": at[keep], "n": np.repeat(np.array([n for _, n, _ in some], dtype=np.int32), sizes)[keep]})
 
@@ -280,7 +267,7 @@ def near_pairs(classes_: DataFrame, per: int = 10) -> DataFrame:
     train, held = classes_.where("side = 0"), classes_.where("side = 1")
     equal = train.select(F.col("class").alias("class_train"), "class_key").join(held.select(F.col("class").alias("class_eval"), "class_key"), "class_key").select("class_train", "class_eval", F.lit(0).cast("bigint").alias("edits"))
     segments = cut(cut_segments(held, substring_counts(train, per), per))
-    a, b = offered(train, bitmap(segments), per).alias("a"), segments.alias("b")
+    a, b = offered(train, bitmap(segments, "gram", MOST_BITS), per).alias("a"), segments.alias("b")
     limit = F.floor(F.greatest("a.n", "b.n") / per)
     met = a.join(b, F.col("a.gram") == F.col("b.gram")).where((F.abs(F.col("a.at") - F.col("b.at")) <= limit) & (F.abs(F.col("a.n") - F.col("b.n")) <= limit))
     pairs = cut(met.select(F.col("a.class").alias("class_train"), F.col("b.class").alias("class_eval")).distinct())

@@ -4,12 +4,14 @@ Items offer the rolling (Karp-Rabin) hashes of all their windows of
 ``min_match`` words.  Windows of documents that share a hash are the seeds; for
 each document and item with a seed, greedy string tiling repeatedly marks the
 longest common passages that overlap no earlier tile, down to ``min_match``
-words.  The share of the item under tiles is its coverage, whatever the order
+words.  The longest length is found by bisection, hashing all unmarked windows of
+a length at once, so a text that repeats itself costs no more than another.  The share of the item under tiles is its coverage, whatever the order
 of the passages, so reordered leaks are found too.
 
 The items' windows are sent to the executors only if there are at most
 ``SEEDS_IN_MEMORY`` of them; beyond that, the documents' windows are joined
-with them instead, and only documents with a seed are read on.
+with them instead, and only documents with a seed are read on.  A bitmap of the
+items' windows drops most others before the exchange.
 
 Defined results: null texts and ids are no case, repeated rows count once,
 items shorter than ``min_match`` words can't leak; whole texts are searched.
@@ -26,6 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.llm.bitmaps import bitmap, marked_in
+from qaloom.operators.lineage import cut
+
 SEEDS_IN_MEMORY = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -59,36 +64,61 @@ def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
     return ((prefix[size:] - prefix[:-size]) * inverse[:n]).view(np.int64)
 
 
+def _free(marked: np.ndarray, size: int) -> np.ndarray:
+    """Starts of the windows that hold no marked word."""
+    before = np.concatenate(([0], np.cumsum(marked)))
+    return np.flatnonzero(before[size:] == before[: len(marked) - size + 1]) if size <= len(marked) else np.zeros(0, np.int64)
+
+
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (start in document, start in item, length), the longest first.
 
-    All seeds are found by equal window hashes and grown while words agree and
-    are unmarked; the longest are marked, the rest wait for the next pass.
+    For a length, windows of unmarked words are compared by their hashes.  The
+    longest length with a match is bisected, as shorter windows of a match match
+    too; its matches are checked word by word and marked from left to right.
+    Each pass marks a tile or lowers the length, and a tile uses up words of the
+    item, so there are few passes.
     """
     marked_doc, marked_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    where: dict[int, list[int]] = {}
-    for j, h in enumerate(window_hashes(item, min_match).tolist()):
-        where.setdefault(h, []).append(j)
-    seeds = [(i, j) for i, h in enumerate(window_hashes(doc, min_match).tolist()) if h in where for j in where[h]]
     tiles: list[tuple[int, int, int]] = []
-    while True:
-        longest, best = min_match - 1, []
-        for i, j in seeds:
-            if i and j and doc[i - 1] == item[j - 1] and not marked_doc[i - 1] and not marked_item[j - 1]:
-                continue  # the match begins further left
-            n, most = 0, min(len(doc) - i, len(item) - j)
-            while n < most and doc[i + n] == item[j + n] and not marked_doc[i + n] and not marked_item[j + n]:
-                n += 1
-            if n > longest:
-                longest, best = n, [(i, j)]
-            elif n == longest and n >= min_match:
-                best.append((i, j))
-        if not best:
+
+    def matches(size: int):
+        i, j = _free(marked_doc, size), _free(marked_item, size)
+        if not len(i) or not len(j):
+            return None
+        h, g = window_hashes(doc, size)[i], window_hashes(item, size)[j]
+        hit = np.isin(h, g)
+        return (i[hit], h[hit], j, g) if hit.any() else None
+
+    most = min(len(doc), len(item))
+    while most >= min_match:
+        low, high, found = min_match - 1, most, None  # low has a match (or is too short), high + 1 has none
+        while low < high:
+            middle = (low + high + 1) // 2
+            if got := matches(middle):
+                low, found = middle, got
+            else:
+                high = middle - 1
+        if found is None:
             return tiles
-        for i, j in best:
-            if not marked_doc[i : i + longest].any() and not marked_item[j : j + longest].any():
-                marked_doc[i : i + longest] = marked_item[j : j + longest] = True
-                tiles.append((i, j, longest))
+        starts, hashes, item_starts, item_hashes = found
+        free: dict[int, list[int]] = {}
+        for j, g in zip(item_starts[::-1].tolist(), item_hashes[::-1].tolist()):
+            free.setdefault(g, []).append(j)
+        end = 0
+        for i, h in zip(starts.tolist(), hashes.tolist()):
+            there = free.get(h)
+            if i < end or not there:
+                continue
+            while there and marked_item[there[-1] : there[-1] + low].any():
+                there.pop()
+            if there and np.array_equal(doc[i : i + low], item[there[-1] : there[-1] + low]):
+                j = there.pop()
+                marked_doc[i : i + low] = marked_item[j : j + low] = True
+                tiles.append((i, j, low))
+                end = i + low
+        most = low - 1
+    return tiles
 
 
 _RESULT = "doc_id {doc}, item_id {item}, n_tiles int, longest int, matched_words int, coverage double"
@@ -112,6 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 12, min_coverage:
     schema = _RESULT.format(doc=docs.schema[doc_id].dataType.simpleString(), item=items.schema[item_id].dataType.simpleString())
     n_words = F.size(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     n_seeds = i.agg(F.sum(F.greatest(n_words - (min_match - 1), F.lit(0)))).first()[0] or 0
+    i = i.where(n_words >= min_match)  # shorter ones can't leak
     found = _by_broadcast(d, i, min_match, schema) if n_seeds <= seeds_in_memory else _by_join(d, i, min_match, schema)
     best = F.max(F.struct("coverage", "longest", "n_tiles", "matched_words")).alias("b")  # of repeated ids with other texts, the clearest
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_tiles", "b.longest", "b.matched_words", "b.coverage").where(F.col("coverage") >= min_coverage)
@@ -119,7 +150,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 12, min_coverage:
 
 def _by_broadcast(d: DataFrame, i: DataFrame, min_match: int, schema: str) -> DataFrame:
     known, texts, seeds, owner = _Words(), [], [], []
-    for row in i.collect():  # bounded by the check of the number of seeds, but for items too short to leak
+    for row in i.collect():  # each has a seed at least, and their number was checked
         x = numbers(row["t"], known)
         if len(x) >= min_match:
             h = window_hashes(x, min_match)
@@ -144,8 +175,9 @@ def _by_broadcast(d: DataFrame, i: DataFrame, min_match: int, schema: str) -> Da
                 low = np.searchsorted(seeds, h, "left")
                 hit = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == h)
                 if len(hit):
-                    high = np.searchsorted(seeds, h[hit], "right")
-                    for k in sorted({int(owners[p]) for a, b in zip(low[hit], high) for p in range(a, b)}):
+                    first = np.unique(low[hit])  # each window once, however often the document repeats it
+                    last = np.searchsorted(seeds, seeds[first], "right")
+                    for k in np.unique(np.concatenate([owners[a:b] for a, b in zip(first, last)])).tolist():
                         if row := _row(doc, texts[k][0], x, texts[k][1], min_match):
                             rows.append(row)
             yield pd.DataFrame(rows, columns=_COLUMNS)
@@ -154,19 +186,22 @@ def _by_broadcast(d: DataFrame, i: DataFrame, min_match: int, schema: str) -> Da
 
 
 def _by_join(d: DataFrame, i: DataFrame, min_match: int, schema: str) -> DataFrame:
-    def windows(key: str, kind: str):
+    def windows(key: str, kind: str, marked=None):
         def work(batches):
             known = _Words()
             for batch in batches:
                 for k, t in zip(batch[key], batch["t"]):
                     h = np.unique(window_hashes(numbers(t, known), min_match))
+                    if marked is not None:
+                        h = h[marked_in(marked.value, h)]
                     yield pd.DataFrame({key: [k] * len(h), "h": h})
 
         return work, f"{key} {kind}, h long"
 
     kinds = dict((x.split()[0], x.split()[1]) for x in schema.split(", "))
-    of_docs = d.mapInPandas(*windows("doc_id", kinds["doc_id"]))
-    of_items = i.mapInPandas(*windows("item_id", kinds["item_id"])).distinct()
+    of_items = cut(i.mapInPandas(*windows("item_id", kinds["item_id"])).distinct())
+    marked = d.sparkSession.sparkContext.broadcast(bitmap(of_items, "h"))
+    of_docs = d.mapInPandas(*windows("doc_id", kinds["doc_id"], marked))
     pairs = of_docs.join(of_items, "h").select("doc_id", "item_id").distinct()
     whole = pairs.join(d, "doc_id").join(i.withColumnRenamed("t", "item_text"), "item_id")
 

@@ -77,3 +77,36 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c d e f g h i j k l m", 1)], SCHEMA_D)
     for bound in (k.SEEDS_IN_MEMORY, 0):
         assert k.leaks(d, i, seeds_in_memory=bound).count() == 0 and k.leaks(one, i, seeds_in_memory=bound).count() == 0
+
+
+def test_first_tile_is_the_longest_passage():
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = [rng.randrange(3) for _ in range(50)], [rng.randrange(3) for _ in range(40)]
+        want = max((n for i in range(50) for j in range(40) for n in range(1, 41) if a[i : i + n] == b[j : j + n] and i + n <= 50 and j + n <= 40), default=0)
+        tiles = k.tile(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), 4)
+        assert (tiles[0][2] if tiles else 0) == (want if want >= 4 else 0)
+        assert [n for _, _, n in tiles] == sorted((n for _, _, n in tiles), reverse=True)
+        # nothing that could still be tiled is left
+        left_a, left_b = list(a), [x + 10 for x in b]
+        for i, j, n in tiles:
+            left_a[i : i + n], left_b[j : j + n] = range(100, 100 + n), range(200, 200 + n)
+        assert not any([x + 10 for x in left_a[i : i + 4]] == left_b[j : j + 4] for i in range(47) for j in range(37))
+
+
+def test_repetitive_texts(spark):
+    """A text of one word a hundred thousand times, and one of a phrase repeated, against items like them."""
+    import time
+
+    d = spark.createDataFrame([(1, "na " * 100_000, 1), (2, "one two three four five " * 20_000, 1)], SCHEMA_D)
+    i = spark.createDataFrame([(1, "na " * 300, "x"), (2, "two three four five one " * 60, "x"), (3, "na " * 11, "x")], SCHEMA_I)
+    began = time.perf_counter()
+    rows = {(r["doc_id"], r["item_id"]): (r["longest"], r["coverage"]) for r in k.leaks(d, i).collect()}
+    assert rows == {(1, 1): (300, 1.0), (2, 2): (300, 1.0)} and time.perf_counter() - began < 60
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    docs, items = data(5)
+    monkeypatch.setattr(k, "bitmap", lambda rows, h: np.full(2, 0xFFFFFFFF, dtype=np.uint32))
+    d, i = spark.createDataFrame([(*x, 1) for x in docs], SCHEMA_D), spark.createDataFrame([(*x, "x") for x in items], SCHEMA_I)
+    assert {(r["doc_id"], r["item_id"]) for r in k.leaks(d, i, seeds_in_memory=0).collect()} == brute(docs, items)
