@@ -4,7 +4,7 @@ Three steps, all over the whole corpus and whole texts:
 
 1. count adjacent character pairs and turn each pair into the information it
    contributes to the corpus (``p(xy) * log2(p(xy) / p(x)p(y))``, in bits of
-   log scale).  Characters fall into ``N_CLASSES`` classes, so the table has at
+   log scale, for a corpus of ``REFERENCE`` pairs where there are more).  Characters fall into ``N_CLASSES`` classes, so the table has at
    most ``N_CLASSES ** 2`` cells whatever the size of the corpus; that is the
    bound under which it is sent to the executors.  Copies of a text count once,
    else a garbled text that is repeated often makes its own pairs probable.
@@ -78,12 +78,18 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("t")).where("t is not null").distinct().mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+#: Pairs that bits are scaled to.  A larger corpus gives the same bits and so the same verdicts however large it grows;
+#: a smaller one has no evidence for more than its own counts.
+REFERENCE = 1e8
+
+
 class PairModel:
     """Information of each pair and the threshold under which a pair is improbable."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray, quantile: float = 0.15):
         counts = np.zeros((N_CLASSES, N_CLASSES))
         counts.flat[np.asarray(code, dtype=np.int64)] = n
+        counts *= min(1.0, REFERENCE / max(counts.sum(), 1.0))
         total = max(counts.sum(), 1.0)
         left, right = counts.sum(1, keepdims=True), counts.sum(0, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):

@@ -117,3 +117,12 @@ def test_segments_near_wanted_positions():
         everything, near = e.maximal_segments(score), e.maximal_segments(score, wanted)
         assert set(near) <= set(everything)
         assert {s for s in everything if wanted[s[0] : s[1]].any()} <= set(near)
+
+
+def test_bits_do_not_depend_on_the_size_of_a_large_corpus():
+    rng = np.random.default_rng(4)
+    code = np.unique(rng.integers(0, e.N_CLASSES**2, 3000))
+    n = rng.integers(1, 1_000_000, len(code))
+    small, large, larger = (e.PairModel(code, n * k) for k in (1, 100, 1_000_000))
+    assert n.sum() > e.REFERENCE and np.allclose(small.bits, large.bits) and np.allclose(large.bits, larger.bits)
+    assert small.threshold == large.threshold == larger.threshold
