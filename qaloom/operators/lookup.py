@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaloom.operators.lineage import cut
+
 
-def in_order(ids: DataFrame, rows: DataFrame, key: str, position: str = "pos", keep_missing: bool = False) -> DataFrame:
-    """Rows of the listed keys, with the list's position; without a row, a key is left out or kept with nulls."""
-    return ids.join(rows, key, "left" if keep_missing else "inner")
+def in_order(ids: DataFrame, rows: DataFrame, key: str, position: str = "pos", missing: str = "drop") -> DataFrame:
+    """Rows of the listed keys, with the list's position; a key without a row is left out (drop), kept with nulls (null) or an error (fail)."""
+    out = ids.join(rows.withColumn("_there", F.lit(True)), key, "inner" if missing == "drop" else "left")
+    if missing == "fail":
+        out = out.withColumn(position, F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string")))).otherwise(F.col(position)))
+    return out.drop("_there")
 
 
 def resolve(names: DataFrame, name: str, files: DataFrame, file: str) -> DataFrame:
@@ -40,9 +48,26 @@ def first_groups(rows: DataFrame, parts: list[str], group: str, most: int) -> Da
     return rows.join(ranked, [*parts, group], "left_semi")
 
 
-def chunked(rows: DataFrame, part: str, order: list[str | Column], size: int) -> DataFrame:
+def numbered(rows: DataFrame, parts: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Adds the number of each row within its part, from 0, in order; null is a part of its own.
+
+    Rows are laid out by ranges of part and order and written, so a part of any
+    size lies in many pieces; numbers come from the rows of one piece and the
+    small table of the pieces' sizes.  With no part, all rows are numbered.
+    """
+    laid = cut(rows.repartitionByRange(*parts, *order).withColumn("_piece", F.spark_partition_id()))
+    key = [*parts, "_piece"]
+    sizes = laid.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*parts).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = laid.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key))
+    return own.join(sizes, same).select(*rows.columns, (F.col("_before") + F.col("_own")).cast("bigint").alias(name))
+
+
+def chunked(rows: DataFrame, part: str, order: list[str], size: int) -> DataFrame:
     """Adds ``chunk``: groups of ``size`` rows of a part, in order."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1) / size).cast("bigint"))
+    return numbered(rows, [part], order, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size).cast("bigint"))
 
 
 def seeded_order(key: str, seed: int, epoch: int = 0) -> Column:

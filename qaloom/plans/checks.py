@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.functions import answers as an
@@ -37,11 +37,7 @@ def selection_order(spark: SparkSession, sf: str) -> DataFrame:
     from qaloom.plans.scores import _selected
 
     drawn = _selected(spark, sf)
-    # the list of drawn identifiers is numbered as a whole, in buckets by their first characters
-    head = F.substring("qid", 1, 4)
-    sizes = drawn.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = drawn.withColumn("head", head).join(before, "head").select("qid", (F.col("before") + F.row_number().over(Window.partitionBy("head").orderBy("qid")) - 1).alias("pos"))
+    ranked = lookup.numbered(drawn.select("qid"), [], ["qid"], "pos")
     return contracts.order_difference(drawn, ranked, "qid").select("key", "detail")
 
 

@@ -42,7 +42,7 @@ def decode_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def segment_intent(spark: SparkSession, sf: str) -> DataFrame:
     rows = with_segment_intent(v.template_questions(spark, sf))
-    return rows.select("qid", "mode", "template_id", "anchor_s", "t1_s", "t2_s", "object_name")
+    return rows.select("qid", "asked", "mode", "template_id", "anchor_s", "t1_s", "t2_s", "object_name")
 
 
 def procedure_intent(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +53,7 @@ def procedure_intent(spark: SparkSession, sf: str) -> DataFrame:
 def segment_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Interval and forward selections over each request's clip, GLOBAL where they don't apply."""
     rows = fr.with_segment_frames(with_segment_intent(v.template_questions(spark, sf)), most=MOST_SEGMENT)
-    return rows.select("qid", "mode", "used_mode", F.size("selected").cast("bigint").alias("n_frames"), F.array_join(F.col("selected").cast("array<string>"), ",").alias("frames"))
+    return rows.select("qid", "asked", "mode", "used_mode", F.size("selected").cast("bigint").alias("n_frames"), F.array_join(F.col("selected").cast("array<string>"), ",").alias("frames"))
 
 
 def _procedures(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,6 +86,7 @@ pl as (select qid, dataset, video, frame_no, source_index, round(relative_s, 6)
 """
 _SLUG = r"substr(coalesce(nullif(trim(regexp_replace(regexp_replace(video, '^(.+)\.[^.]+$', '\1'), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), ''), 'video'), 1, 60)"
 
+# fixed values: question templates and cues, the same as those of operators/intents.py, as one alternation each
 _T = r"\d{2}:[0-5]\d:[0-5]\d"
 _INTERVAL = rf"^what types of foreign objects are seen between ({_T}) and ({_T})\? please provide the class name\(s\) or answer none\.$"
 _RETRIEVAL = rf"^there is one ([a-z][a-z0-9 /_-]{{0,60}}?) in the frame at ({_T})\. when is it retrieved from the surgical site\? please provide the answer in hh:mm:ss\.$"
@@ -116,8 +117,8 @@ sf3 as (select *, list_filter(list_transform([-1.0::double, 0.0, 1.0, 2.0], lamb
 sf4 as (select *, list_sort(list_distinct(list_transform(targets, lambda t: list_min(list_transform(g, lambda i: {{'far': abs(i / fps - t), 'i': i}})).i))) as near, list_filter(g, lambda i: i / fps > anchor + 2.0) as pool from sf3),
 sf5 as (select *, {v.cap_sql('pool', f'({MOST_SEGMENT} - len(near))')} as broad from sf4),
 sf6 as (select *, case when mode = 'INTERVAL' and len(inside) > 0 then {v.cap_sql('inside', str(MOST_SEGMENT))} when anchor is not null then list_sort(list_distinct(list_concat(near, broad))) end as special from sf5),
-sf as (select qid, mode, case when special is null then 'GLOBAL' else mode end as used_mode, case when special is null then {v.cap_sql('g', str(MOST_SEGMENT))} else {v.cap_sql('special', str(MOST_SEGMENT))} end as s from sf6)
-select qid, mode, used_mode, len(s) as n_frames, array_to_string(s, ',') as frames from sf"""
+sf as (select qid, asked, mode, case when special is null then 'GLOBAL' else mode end as used_mode, case when special is null then {v.cap_sql('g', str(MOST_SEGMENT))} else {v.cap_sql('special', str(MOST_SEGMENT))} end as s from sf6)
+select qid, asked, mode, used_mode, len(s) as n_frames, array_to_string(s, ',') as frames from sf"""
 )
 
 _CUES = [
@@ -191,7 +192,7 @@ ORACLES = {
     "frame_plan": _PLAN + "select * from pl",
     "frame_plan_dedup": _PLAN + f", f as (select dataset, {_SLUG} || '_' || substr(sha1(dataset || '|' || video), 1, 12) as folder, file, count(*) as n from pl group by all) select dataset, sum(n)::bigint as n_references, count(*) as n_files, sum(n)::bigint - count(*) as n_saved, count(distinct folder) as n_folders from f group by dataset",
     "decode_jobs": _PLAN + ", d as (select distinct video, source_index, timestamp from pl), e as (select *, (row_number() over (partition by video order by source_index, timestamp) - 1) // 128 as batch from d) select video, batch, count(*) as n_frames, min(source_index) as first_index, max(source_index) as last_index from e group by video, batch",
-    "segment_intent": _SEGMENT + "select qid, mode, template_id, anchor_s, t1_s, t2_s, object_name from sg",
+    "segment_intent": _SEGMENT + "select qid, asked, mode, template_id, anchor_s, t1_s, t2_s, object_name from sg",
     "procedure_intent": _INTENT + "select qid, intent, array_to_string(anchor_texts, ',') as anchors, malformed from pi",
     "segment_frames": _SEGMENT_FRAMES,
     "procedure_frames": _PROCEDURE,

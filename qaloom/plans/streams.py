@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qaloom.operators.lineage import scratch
 from qaloom.streaming import responses as st
@@ -14,19 +15,17 @@ def _utc(spark: SparkSession, schema: str) -> str:
 
 def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
     """Responses and latency per day of completion."""
-    from pyspark.sql import functions as F
-
-    rows = st.table_stream(spark, f"{sf}/responses.parquet", _utc(spark, st.RESPONSES)).withColumn("completed_at_utc", F.col("completed_at_utc").cast("timestamp"))
-    out = st.run_to_end(st.latency_windows(rows), scratch(spark, "stream-latency"))
+    schema, folder = _utc(spark, st.RESPONSES), scratch(spark, "stream-latency")
+    rows = st.table_stream(spark, f"{sf}/responses.parquet", schema, ends=f"{folder}/ends").withColumn("completed_at_utc", F.col("completed_at_utc").cast("timestamp"))
+    out, _ = st.run_to_end(st.latency_windows(rows), folder, (f"{folder}/ends", schema, "completed_at_utc"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "n_timed", F.round("latency_s", 3).alias("latency_s"))
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of users in the events table."""
-    from pyspark.sql import functions as F
-
-    rows = st.table_stream(spark, f"{sf}/events.parquet", _utc(spark, st.EVENTS)).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = st.run_to_end(st.user_sessions(rows), scratch(spark, "stream-sessions"))
+    schema, folder = _utc(spark, st.EVENTS), scratch(spark, "stream-sessions")
+    rows = st.table_stream(spark, f"{sf}/events.parquet", schema, ends=f"{folder}/ends").withColumn("ts", F.col("ts").cast("timestamp"))
+    out, _ = st.run_to_end(st.user_sessions(rows), folder, (f"{folder}/ends", schema, "ts"))
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n_events")
 
 

@@ -18,14 +18,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+BYTES_A_PART = 32 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """The one exchange by an even key that an aggregation needs anyway, over all cores.
 
     Rows here are small but each costs much arithmetic later on; a number of
-    partitions that is asked for isn't merged to a few by their bytes.
+    partitions that is asked for isn't merged to a few by their bytes.  It grows
+    with the estimated size of the rows.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(least, min(size // BYTES_A_PART, 200_000)), key)
 
 
 def trimmed(c: Column) -> Column:
@@ -41,8 +47,13 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each video: video, duration_s, fps, total_frames.  Rates come from the name, as no table holds them."""
-    r = requests(spark, sf).groupBy("video").agg(F.max("end_time").alias("duration_s"))
+    """One row for each video: video, duration_s, fps, total_frames.  Rates come from the name, as no table holds them.
+
+    A video is as long as its last sound window, of any row: so this reads three
+    columns and exchanges one partial maximum a video and task.
+    """
+    r = table(spark, sf, "request").where(window_valid(F.col("start_time"), F.col("end_time"))).select(vkey(F.col("videoid")).alias("video"), "end_time")
+    r = r.where("video is not null").groupBy("video").agg(F.max("end_time").alias("duration_s"))
     r = r.withColumn("fps", F.when(F.length("video") % 2 == 0, F.lit(25.0)).otherwise(F.lit(29.97)))
     return r.withColumn("total_frames", F.floor((F.col("duration_s") + 1) * F.col("fps")).cast("bigint"))
 
@@ -53,21 +64,22 @@ def request_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def template_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests with a question of one of the special templates (by the last digit of the qid), and a clip of their own window."""
+    """Requests with their own question (``asked`` real) and one of the special templates by the last digit of the qid (``asked`` template), and a clip of their own window."""
     r = requests(spark, sf)
     clock = lambda c: F.format_string("%02d:%02d:%02d", F.floor(c / 3600).cast("bigint"), F.floor(c % 3600 / 60).cast("bigint"), c % 60)
     start, end = F.floor("start_time").cast("bigint"), F.floor("end_time").cast("bigint")
-    digit = F.right("qid", F.lit(1)).cast("int")
+    digit = F.right("qid", F.lit(1)).try_cast("int")
     t1, t2 = clock(start + 1), clock(F.greatest(start + 2, end - 3))
     middle = clock(F.floor((start + end) / 2).cast("bigint"))
+    # fixed values: sentences of the special templates
     text = (
         F.when(digit <= 2, F.concat(F.lit("What types of foreign objects are seen between "), t1, F.lit(" and "), t2, F.lit("? Please provide the class name(s) or answer none.")))
         .when(digit <= 4, F.concat(F.lit("There is one Specimen Bag in the frame at "), middle, F.lit(". When is it retrieved from the surgical site? Please provide the answer in hh:mm:ss.")))
         .when(digit <= 6, F.concat(F.lit("Does the Needle, last visible just before "), middle, F.lit(", re-appear later in the video? Please answer with yes or no.")))
         .when(digit == 7, F.concat(F.lit("Does the Needle, last visible just before "), clock(end + 5), F.lit(", re-appear later in the video? Please answer with yes or no.")))
-        .otherwise(F.col("question"))
     )
-    clip = r.withColumn("question", text).withColumn("fps", F.when(digit % 2 == 0, F.lit(25.0)).otherwise(F.lit(29.97)))
+    both = F.filter(F.array(F.struct(F.lit("real").alias("asked"), F.col("question").alias("question")), F.struct(F.lit("template").alias("asked"), text.alias("question"))), lambda x: x["question"].isNotNull())
+    clip = r.withColumn("both", F.explode(both)).withColumn("asked", F.col("both.asked")).withColumn("question", F.col("both.question")).drop("both").withColumn("fps", F.when(digit % 2 == 0, F.lit(25.0)).otherwise(F.lit(29.97)))
     return clip.withColumn("total_frames", F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("end_time") - F.col("start_time")) * F.col("fps")).cast("bigint")))
 
 
@@ -107,19 +119,22 @@ rq0 as (select qid, {VKEY.format('videoid')} as video, start_time, end_time, {TR
   where qid is not null and isfinite(start_time) and isfinite(end_time) and start_time >= 0 and end_time > start_time),
 rq as (select qid, min(video) as video, min(start_time) as start_time, min(end_time) as end_time, min(question) as question, min(procedure) as procedure, split_part(qid, '_', 1) as dataset
   from rq0 where video is not null and question <> '' group by qid)"""
-VIDEOS = """
-vd0 as (select video, max(end_time) as duration_s, case when length(video) % 2 = 0 then 25.0::double else 29.97::double end as fps from rq group by video),
-vd as (select *, floor((duration_s + 1) * fps)::bigint as total_frames from vd0)"""
+VIDEOS = f"""
+vd0 as (select {VKEY.format('videoid')} as video, max(end_time) as duration_s from request
+  where isfinite(start_time) and isfinite(end_time) and start_time >= 0 and end_time > start_time and {VKEY.format('videoid')} is not null group by 1),
+vd1 as (select *, case when length(video) % 2 = 0 then 25.0::double else 29.97::double end as fps from vd0),
+vd as (select *, floor((duration_s + 1) * fps)::bigint as total_frames from vd1)"""
+# fixed values: sentences of the special templates, as above
 TEMPLATES = f"""
-tq0 as (select *, floor(start_time)::bigint as s, floor(end_time)::bigint as e, right(qid, 1)::int as digit from rq),
-tq as (select qid, dataset, video, start_time, end_time, procedure, case
+tq0 as (select *, floor(start_time)::bigint as s, floor(end_time)::bigint as e, try_cast(right(qid, 1) as int) as digit from rq),
+tq1 as (select * replace (case
   when digit <= 2 then 'What types of foreign objects are seen between ' || {clock_sql('s + 1')} || ' and ' || {clock_sql('greatest(s + 2, e - 3)')} || '? Please provide the class name(s) or answer none.'
   when digit <= 4 then 'There is one Specimen Bag in the frame at ' || {clock_sql('(s + e) // 2')} || '. When is it retrieved from the surgical site? Please provide the answer in hh:mm:ss.'
   when digit <= 6 then 'Does the Needle, last visible just before ' || {clock_sql('(s + e) // 2')} || ', re-appear later in the video? Please answer with yes or no.'
-  when digit = 7 then 'Does the Needle, last visible just before ' || {clock_sql('e + 5')} || ', re-appear later in the video? Please answer with yes or no.'
-  else question end as question,
-  case when digit % 2 = 0 then 25.0::double else 29.97::double end as fps,
-  greatest(1, floor((end_time - start_time) * (case when digit % 2 = 0 then 25.0::double else 29.97::double end))::bigint) as total_frames from tq0)"""
+  when digit = 7 then 'Does the Needle, last visible just before ' || {clock_sql('e + 5')} || ', re-appear later in the video? Please answer with yes or no.' end as question), 'template' as asked from tq0),
+tq as (select qid, dataset, video, start_time, end_time, procedure, question, asked, case when digit % 2 = 0 then 25.0::double else 29.97::double end as fps,
+  greatest(1, floor((end_time - start_time) * (case when digit % 2 = 0 then 25.0::double else 29.97::double end))::bigint) as total_frames
+  from (select * from tq1 where question is not null union all select *, 'real' from tq0))"""
 RESULTS = "\nrs as (select distinct * from detailed_results)"
 ANSWERS = "\nan as (select qid, r.answer as answer, r.latency as latency, r.response_id as response_id from (select qid, arg_min({'answer': answer, 'latency': latency, 'response_id': response_id}, response_id) as r from responses where qid is not null and response_id is not null group by qid))"
 LOG = "\nlg as (select qid, coalesce(inference_status, '') as status, coalesce(format('{:.6f}', latency_s), '') as latency, case when timed_out then 'TimeoutError' else '' end as error_type from rs)"
