@@ -99,3 +99,8 @@ def format_valid(text: Column, form: Column, names: Column) -> Column:
         .when(form == "layout", layout)
     )
     return F.coalesce(known, k != "blank") & (k != "blank")
+
+
+def format_name(given: Column, format_: Column) -> Column:
+    """Name of an answer's format: the one given, else the type of its format, else ''."""
+    return F.coalesce(given, format_["type"], F.lit(""))

@@ -90,7 +90,49 @@ def test_sinks(spark, tmp_path):
         sinks.new_only(df, str(tmp_path / "j"))
     sinks.checkpoint(df, df, df.limit(0), str(tmp_path / "k"))
     assert spark.read.parquet(str(tmp_path / "k/responses")).count() == 2
-    assert json.loads(sinks.as_document(df.select("n").orderBy("n")).first()["document"]) == [{"n": 1}, {"n": 2}]
+    sinks.json_document(df.select("n").orderBy("n"), str(tmp_path / "doc"), files=1)
+    (part,) = (tmp_path / "doc").glob("part-*")
+    assert json.loads(part.read_text()) == [{"n": 1}, {"n": 2}]
+    sinks.json_document(df.limit(0), str(tmp_path / "none"), files=1)
+    assert readers.json_array(spark, str(tmp_path / "none"), "n int").count() == 0
+    spaced = spark.createDataFrame([(" a ", "x\ny"), ("b", '"')], "k string, v string")
+    sinks.csv(spaced, str(tmp_path / "s"), ["k"], files=1)
+    assert len(list((tmp_path / "s").glob("part-*"))) == 1
+    back = readers.csv_log(spark, str(tmp_path / "s"), ("k", "v"))
+    assert sorted(tuple(r) for r in back.collect()) == [(" a ", "x\ny"), ("b", '"')]
+
+
+def test_documents_of_several_lines(spark, tmp_path):
+    assert [tuple(r) for r in readers.id_list(spark, write(tmp_path / "i.json", '[\n  "b",\n  "a"\n]\n'), 2).collect()] == [(0, "b"), (1, "a")]
+    assert readers.scalar_text(spark, write(tmp_path / "t.json", '\n"one\\ntwo"\n')).first()["text"] == "one\ntwo"
+
+
+def test_bad_lines_have_a_number(spark, tmp_path):
+    path = write(tmp_path / "x.jsonl", '{"n": 1}\n\n[1]\n{"n": 2}\nnull\n{"n":\n')
+    assert sorted((r["line"], r["text"]) for r in readers.bad_json_lines(spark, path).collect()) == [(3, "[1]"), (5, "null"), (6, '{"n":')]
+    with pytest.raises(ContractError, match="line 3"):
+        readers.checked_json_lines(spark, path, "n int")
+    good = write(tmp_path / "y.jsonl", '{"n": 1}\n\n{"n": 2}\n')
+    assert readers.bad_json_lines(spark, good).count() == 0 and readers.checked_json_lines(spark, good, "n int").count() == 2
+
+
+def test_repeated_keys_of_a_log_are_an_error(spark, tmp_path):
+    path = write(tmp_path / "l.csv", "qid,status,latency,error_type\na,success,1,\n,x,,\na,failed,2,\n")
+    with pytest.raises(ContractError, match="a 2"):
+        readers.csv_log(spark, path)
+    assert readers.csv_log(spark, path, unique=False).count() == 2
+
+
+def test_name_index(spark):
+    names = spark.createDataFrame([("A.mp4",), ("a.mp4",), ("b.mp4",), ("b.mp4",), (None,)], "name string")
+    got = sorted(tuple(r) for r in readers.name_index(names).collect())
+    assert got == [("A.mp4", "exact", "A.mp4", 1), ("a.mp4", "exact", "a.mp4", 1), ("a.mp4", "lower", "A.mp4", 2), ("b.mp4", "exact", "b.mp4", 1), ("b.mp4", "lower", "b.mp4", 1)]
+
+
+def test_split_manifests(spark, tmp_path):
+    df = spark.createDataFrame([("d2", "val", 1), ("d1", "val", 2), ("d1", "train", 3), ("d1", "test", 4), (None, "val", 5)], "dataset string, split string, n int")
+    assert sinks.split_manifests(df, str(tmp_path)) == ["train", "val_d1", "val_d2", "val_all"]
+    assert sorted(r["n"] for r in spark.read.json(str(tmp_path / "val_all")).collect()) == [1, 2]
 
 
 def test_partition_pruning(spark, tmp_path):
