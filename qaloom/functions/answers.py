@@ -104,3 +104,8 @@ def format_valid(text: Column, form: Column, names: Column) -> Column:
 def format_name(given: Column, format_: Column) -> Column:
     """Name of an answer's format: the one given, else the type of its format, else ''."""
     return F.coalesce(given, format_["type"], F.lit(""))
+
+
+def format_error(valid: Column, form: Column) -> Column:
+    """What is wrong with an answer's format; '' if nothing."""
+    return F.when(valid, "").otherwise(F.concat(F.lit("not in the format "), F.coalesce(form, F.lit("(none)"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from qaloom.functions.text import token
+from qaloom.functions.text import blank, token
 
 #: Capability names and their codes.
 CODES = {
@@ -29,16 +29,19 @@ def code_group(capability: Column) -> Column:
     return F.substring(capability, 1, 1)
 
 
-def group(text: Column) -> Column:
-    """Metric name of a capability group, found as a part of its name; null if there is none."""
+def group(text: Column, strict: bool = False) -> Column:
+    """Metric name of a capability group, found as a part of its name; null if there is none, or an error if strict and the name isn't blank."""
     t = token(text)
-    return (
+    known = (
         F.when(t.contains("object_recognition"), "object_recognition")
         .when(t.contains("temporal_grounding"), "temporal_grounding")
         .when((t == "aggregation") | t.endswith("_aggregation"), "aggregation")
         .when(t.contains("event_understanding") | t.contains("event_and_procedural_understanding"), "event_understanding")
         .when(t.contains("complex_reasoning"), "complex_reasoning")
     )
+    if not strict:
+        return known
+    return F.when(known.isNotNull() | blank(text), known).otherwise(F.raise_error(F.concat(F.lit("unknown capability group: "), text)))
 
 
 def joined_codes(codes: Column) -> Column:

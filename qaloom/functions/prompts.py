@@ -48,6 +48,7 @@ def request_prompt(procedure: Column, question: Column) -> Column:
 
 def global_sampling_text(frames: Column, duration: Column, fps: float, most: int) -> Column:
     """How the frames were sampled: evenly selected if the budget was short, else at the rate."""
+    # fixed values: the sentences must match
     evenly = (frames >= most) & (duration > most / fps)
     rate = F.lit(f"{fps:g}")
     a = F.concat(F.lit("The input consists of "), frames.cast("string"), F.lit(" chronologically ordered frames uniformly selected across the "), short_number(duration), F.lit("-second trimmed video segment after sampling at "), rate, F.lit(" fps."))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +99,18 @@ def listing(names: Column) -> Column:
     n = F.size(names)
     long = F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", and "), F.element_at(names, -1))
     return F.when(n == 1, F.get(names, 0)).when(n == 2, F.array_join(names, " and ")).when(n > 2, long)
+
+
+def alternation(words: list[str]) -> str:
+    """Pattern of any of the words, the longest first, so that no word hides a longer one that begins with it."""
+    return "|".join(re.escape(w).replace("\\ ", " ") for w in sorted(set(words), key=lambda w: (-len(w), w)))
+
+
+def file_for(folder: str, key: Column, suffix: str) -> Column:
+    """``folder/key.suffix``; null for a null key."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), key, F.lit("." + suffix.lstrip(".")))
+
+
+def utc_now() -> Column:
+    """Time of the query in UTC, as ISO text; for audit records, not for results."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

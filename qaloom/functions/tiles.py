@@ -52,3 +52,8 @@ def platform_size(width: Column, height: Column, most: int = 576) -> Column:
     h = F.greatest(F.lit(2), F.least(height, F.lit(most)) - F.least(height, F.lit(most)) % 2)
     w = F.greatest(F.lit(2), F.rint(width * h / height / 2).cast("int") * 2)
     return F.struct(w.alias("width"), h.alias("height"))
+
+
+def patch_total(counts: Column) -> Column:
+    """Patches of all images of one prediction."""
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -47,6 +47,19 @@ def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.select(rule.alias("rule"), "key", F.lit("").alias("detail")).where("rule is not null")
 
 
+def lacking_keys(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, lacking): keys that some but not all of several frames have, and the names of those without, in order."""
+    has = reduce(DataFrame.unionByName, (df.select(F.col(key).cast("string").alias("key"), F.lit(name).alias("name")).where("key is not null") for name, df in frames.items()))
+    found = has.groupBy("key").agg(F.collect_set("name").alias("names"))  # at most as many names as frames
+    lacking = F.filter(F.array(*map(F.lit, sorted(frames))), lambda n: ~F.array_contains("names", n))
+    return found.select("key", F.array_join(lacking, ",").alias("lacking")).where("lacking <> ''")
+
+
+def path_collisions(rows: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Keys with several paths: what is to be written once would be written to different places."""
+    return rows.groupBy(*keys).agg(F.min(path).alias("path"), F.max(path).alias("other")).where("path <> other")
+
+
 def order_difference(a: DataFrame, b: DataFrame, key: str, position: str = "pos") -> DataFrame:
     """Keys that both sides have, at different positions."""
     l, r = a.select(F.col(key).alias("key"), F.col(position).alias("l")), b.select(F.col(key).alias("key"), F.col(position).alias("r"))
@@ -131,3 +144,9 @@ def adapter_rules(required: list[str], uses: str = "weight_decomposed", targets:
     """Rules of an adapter's configuration: the method is on, and all required modules are targets."""
     lacking = F.array_except(F.array(*map(F.lit, required)), F.coalesce(targets, F.array().cast("array<string>")))
     return {"method_off": ~F.coalesce(F.col(uses), F.lit(False)), "target_missing": F.size(lacking) > 0}
+
+
+def required_files(present: DataFrame, required: list[str], name: str = "name", length: str = "length") -> DataFrame:
+    """Files that a model's folder must hold and doesn't, or holds empty."""
+    wanted = present.sparkSession.createDataFrame([(r,) for r in required], "name string")
+    return missing_files(wanted, "name", present, name, length)

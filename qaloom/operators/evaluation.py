@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,32 @@ def in_given_order(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Rows sorted by an explicit list of values, others last."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
     return rows.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), column)
+
+
+def consistency(rows: DataFrame, bucket_scores: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """(n_buckets, equal_sizes, agree): whether micro and macro mean agree, as they must where all buckets are of one size."""
+    b = bucket_scores.agg(F.count(F.lit(1)).alias("n_buckets"), (F.min("count") == F.max("count")).alias("equal_sizes"), F.avg("accuracy").alias("macro"))
+    both = rows.agg(F.avg(F.col("correctness").cast("int")).alias("micro")).crossJoin(b)  # one row each
+    return both.select("n_buckets", "equal_sizes", (~F.col("equal_sizes") | (F.abs(F.col("micro") - F.col("macro")) <= tolerance)).alias("agree"))
+
+
+def bootstrap(scores: DataFrame, key: str, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(key, count, accuracy, low, high): percentile interval of each accuracy under resampling with replacement.
+
+    scores: key, correct, count.  Answers are right or wrong, so the right ones
+    of a resample are binomially distributed and nothing but the counts is drawn
+    from: the cost doesn't depend on the rows.
+    """
+    edges = [50 * (1 - level), 50 * (1 + level)]
+
+    def work(batches):
+        for b in batches:
+            out = []
+            for k, c, n in zip(b["key"], b["correct"], b["count"]):
+                rng = np.random.Generator(np.random.PCG64([seed, *str(k).encode()]))
+                low, high = np.percentile(rng.binomial(int(n), c / n, draws) / n, edges)
+                out.append((k, int(n), c / n, float(low), float(high)))
+            yield pd.DataFrame(out, columns=[key, "count", "accuracy", "low", "high"])
+
+    rows = scores.where("count > 0").select(F.col(key).cast("string").alias("key"), "correct", "count")
+    return rows.mapInPandas(work, f"{key} string, count long, accuracy double, low double, high double")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.functions.prompts import global_sampling_text
 from qaloom.functions.timecode import hhmmss, rint_index
 
 
@@ -111,7 +112,7 @@ def between_frames(grid: Column, fps: Column, start: Column, t1: Column, t2: Col
 
 
 def with_segment_frames(df: DataFrame, target_fps: float = 1.0, most: int = 32) -> DataFrame:
-    """Adds ``selected`` (array<bigint>) and ``used_mode`` for rows with mode, anchor_s, t1_s, t2_s, start_time, fps, total_frames.
+    """Adds ``selected`` (array<bigint>), ``used_mode`` and ``description`` for rows with mode, anchor_s, t1_s, t2_s, start_time, fps, total_frames.
 
     A special selection that comes out empty falls back to GLOBAL.
     """
@@ -128,6 +129,15 @@ def with_segment_frames(df: DataFrame, target_fps: float = 1.0, most: int = 32)
     special = F.when((F.col("mode") == "INTERVAL") & (F.size("_between") > 0), cap(F.col("_between"), most)).when((F.col("mode") == "FORWARD") & (F.size("_forward") > 0), F.col("_forward"))
     df = df.withColumn("_special", special)
     df = df.withColumn("selected", F.coalesce("_special", cap(F.col("_grid"), most))).withColumn("used_mode", F.when(F.col("_special").isNotNull(), F.col("mode")).otherwise("GLOBAL"))
+    length = F.col("end_time") - start if "end_time" in df.columns else F.col("total_frames") / fps
+    count = F.concat(F.lit("The input consists of "), F.size("selected").cast("string"), F.lit(" chronologically ordered frames "))
+    # fixed values: sentences that describe a selection
+    text = (
+        F.when(F.col("used_mode") == "INTERVAL", F.concat(count, F.lit("sampled from the explicit interval "), hhmmss(F.col("t1_s")), F.lit(" to "), hhmmss(F.col("t2_s")), F.lit(" specified in the question. When the interval contains more candidate frames than the frame budget, they are uniformly selected within that interval.")))
+        .when(F.col("used_mode") == "FORWARD", F.concat(count, F.lit("selected for a forward temporal search from the question's anchor at "), hhmmss(F.col("anchor_s")), F.lit(". The frames include local context around the anchor and broad coverage after it toward the end of the supplied video segment. Sampling is not uniform across the full segment.")))
+        .otherwise(global_sampling_text(F.size("selected"), length, target_fps, most))
+    )
+    df = df.withColumn("description", text)
     return df.drop("_grid", "_between", "_anchor", "_targets", "_local", "_pool", "_forward", "_special")
 
 
@@ -249,6 +259,7 @@ def with_procedure_frames(df: DataFrame, target_fps: float = 1.0, most: int = 52
     df = df.withColumn("selected", selected)
     count = F.concat(F.size("selected").cast("string"), F.lit(" chronologically ordered frames "))
     t = lambda i: hhmmss(F.get("kept_anchors", i))
+    # fixed values: sentences that describe a selection
     text = (
         F.when(intent == "GLOBAL", F.concat(count, F.lit("sampled for broad coverage across the supplied procedure-level video context.")))
         .when(intent == "INTERVAL", F.concat(count, F.lit("sampled across the explicit interval "), t(0), F.lit(" to "), t(1), F.lit(".")))

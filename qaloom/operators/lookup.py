@@ -49,7 +49,7 @@ def first_groups(rows: DataFrame, parts: list[str], group: str, most: int) -> Da
 
 
 def numbered(rows: DataFrame, parts: list[str], order: list[str], name: str = "number") -> DataFrame:
-    """Adds the number of each row within its part, from 0, in order; null is a part of its own.
+    """Adds the number of each row within its part, from 0, in order, in place of a column of that name; null is a part of its own.
 
     Rows are laid out by ranges of part and order and written, so a part of any
     size lies in many pieces; numbers come from the rows of one piece and the
@@ -62,7 +62,7 @@ def numbered(rows: DataFrame, parts: list[str], order: list[str], name: str = "n
     sizes = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = laid.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key))
-    return own.join(sizes, same).select(*rows.columns, (F.col("_before") + F.col("_own")).cast("bigint").alias(name))
+    return own.join(sizes, same).select(*(c for c in rows.columns if c != name), (F.col("_before") + F.col("_own")).cast("bigint").alias(name))
 
 
 def chunked(rows: DataFrame, part: str, order: list[str], size: int) -> DataFrame:
@@ -73,3 +73,8 @@ def chunked(rows: DataFrame, part: str, order: list[str], size: int) -> DataFram
 def seeded_order(key: str, seed: int, epoch: int = 0) -> Column:
     """A sort key that shuffles rows by seed and epoch, the same for every layout."""
     return F.md5(F.concat_ws(":", F.col(key), F.lit(str(seed + epoch))))
+
+
+def every(rows: DataFrame, parts: list[str], order: list[str], k: int) -> DataFrame:
+    """Each k-th row of a part in order, with its number from 1: the marks of a progress report."""
+    return numbered(rows, parts, order).withColumn("number", F.col("number") + 1).where(F.col("number") % k == 0)

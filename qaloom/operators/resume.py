@@ -69,3 +69,9 @@ def learning_rates(losses: DataFrame, start: float, patience: int = 3, factor: f
     epochs = losses.groupBy("run").agg(F.sort_array(F.collect_list(F.struct(F.col("epoch").cast("bigint").alias("epoch"), "loss"))).alias("e"))
     folded = epochs.select("run", F.explode(F.aggregate("e", first, step, lambda a: a["out"])).alias("r"))
     return folded.select("run", "r.epoch", "r.loss", "r.improved", "r.stale", "r.rate")
+
+
+def mean_losses(losses: DataFrame) -> DataFrame:
+    """(run, phase, n, mean_loss): mean loss of each run's training and validation steps; steps without a number don't count."""
+    sound = losses.where(F.col("loss").isNotNull() & ~F.isnan("loss"))
+    return sound.groupBy("run", "phase").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("mean_loss"))

@@ -41,11 +41,14 @@ def selection_order(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.order_difference(drawn, ranked, "qid").select("key", "detail")
 
 
+def mismatched(records: DataFrame) -> DataFrame:
+    wanted = F.transform("images", lambda p: hhmmss(F.regexp_extract(p, r"f(\d+)\.[a-z]+$", 1).try_cast("bigint")))
+    return contracts.broken(records, F.col("sample_id"), {"label_differs": ~F.col("frame_labels").eqNullSafe(wanted)}).select("rule", "key")
+
+
 def label_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     """Records whose labels aren't the clock times of their images' numbers."""
-    r = manifests._samples(spark, sf).select("sample_id", "images", "frame_labels")
-    wanted = F.transform("images", lambda p: hhmmss(F.regexp_extract(p, r"f(\d+)\.[a-z]+$", 1).try_cast("bigint")))
-    return contracts.broken(r, F.col("sample_id"), {"label_differs": ~F.col("frame_labels").eqNullSafe(wanted)}).select("rule", "key")
+    return mismatched(manifests._samples(spark, sf).select("sample_id", "images", "frame_labels"))
 
 
 def manifest_violations(spark: SparkSession, sf: str) -> DataFrame:

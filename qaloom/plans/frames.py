@@ -53,7 +53,7 @@ def procedure_intent(spark: SparkSession, sf: str) -> DataFrame:
 def segment_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Interval and forward selections over each request's clip, GLOBAL where they don't apply."""
     rows = fr.with_segment_frames(with_segment_intent(v.template_questions(spark, sf)), most=MOST_SEGMENT)
-    return rows.select("qid", "asked", "mode", "used_mode", F.size("selected").cast("bigint").alias("n_frames"), F.array_join(F.col("selected").cast("array<string>"), ",").alias("frames"))
+    return rows.select("qid", "asked", "mode", "used_mode", F.size("selected").cast("bigint").alias("n_frames"), F.array_join(F.col("selected").cast("array<string>"), ",").alias("frames"), "description")
 
 
 def _procedures(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,8 +117,11 @@ sf3 as (select *, list_filter(list_transform([-1.0::double, 0.0, 1.0, 2.0], lamb
 sf4 as (select *, list_sort(list_distinct(list_transform(targets, lambda t: list_min(list_transform(g, lambda i: {{'far': abs(i / fps - t), 'i': i}})).i))) as near, list_filter(g, lambda i: i / fps > anchor + 2.0) as pool from sf3),
 sf5 as (select *, {v.cap_sql('pool', f'({MOST_SEGMENT} - len(near))')} as broad from sf4),
 sf6 as (select *, case when mode = 'INTERVAL' and len(inside) > 0 then {v.cap_sql('inside', str(MOST_SEGMENT))} when anchor is not null then list_sort(list_distinct(list_concat(near, broad))) end as special from sf5),
-sf as (select qid, asked, mode, case when special is null then 'GLOBAL' else mode end as used_mode, case when special is null then {v.cap_sql('g', str(MOST_SEGMENT))} else {v.cap_sql('special', str(MOST_SEGMENT))} end as s from sf6)
-select qid, asked, mode, used_mode, len(s) as n_frames, array_to_string(s, ',') as frames from sf"""
+sf as (select qid, asked, t1_s, t2_s, anchor_s, end_time - start_time as d, mode, case when special is null then 'GLOBAL' else mode end as used_mode, case when special is null then {v.cap_sql('g', str(MOST_SEGMENT))} else {v.cap_sql('special', str(MOST_SEGMENT))} end as s from sf6)
+select qid, asked, mode, used_mode, len(s) as n_frames, array_to_string(s, ',') as frames, 'The input consists of ' || len(s)::varchar || ' chronologically ordered frames ' || case used_mode
+  when 'INTERVAL' then 'sampled from the explicit interval ' || {v.clock_sql('t1_s::bigint')} || ' to ' || {v.clock_sql('t2_s::bigint')} || ' specified in the question. When the interval contains more candidate frames than the frame budget, they are uniformly selected within that interval.'
+  when 'FORWARD' then 'selected for a forward temporal search from the question''s anchor at ' || {v.clock_sql('anchor_s::bigint')} || '. The frames include local context around the anchor and broad coverage after it toward the end of the supplied video segment. Sampling is not uniform across the full segment.'
+  else case when len(s) >= {MOST_SEGMENT} and d > {MOST_SEGMENT} then 'uniformly selected across the ' || format('{{:g}}', d) || '-second trimmed video segment after sampling at 1 fps.' else 'sampled at 1 fps from the ' || format('{{:g}}', d) || '-second trimmed video segment.' end end as description from sf"""
 )
 
 _CUES = [

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.functions import capabilities
-from qaloom.functions.text import as_double, trimmed_lower, vkey
+from qaloom.functions import answers, capabilities
+from qaloom.functions.text import as_double, as_whole, trimmed_lower, vkey
 from qaloom.operators import contracts, evaluation, lookup
 from qaloom.plans import views as v
 
@@ -29,11 +29,23 @@ def selected_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detailed_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions with reference, response, official score and log cells, '' where the log has no row."""
-    scores = _rows(spark, sf).select("qid", "dataset", "reference_answer", "answer_format", "scoring_method", "capability_group", "ood", "format_valid", "correctness")
-    log = v.log(spark, sf).where(F.lower(F.trim("status")) != "failed")
-    out = v.requests(spark, sf).select("qid", "video", "start_time", "end_time").join(scores, "qid").join(v.answers(spark, sf).select("qid", "answer", "latency"), "qid", "left").join(log.select("qid", "status", F.col("latency").alias("log_latency")), "qid", "left")
-    return out.select("qid", "dataset", "video", F.round(F.col("end_time") - F.col("start_time"), 6).alias("duration_s"), "reference_answer", F.coalesce("answer", F.lit("")).alias("candidate_answer"), "answer_format", "scoring_method", "capability_group", F.when(F.col("ood"), "ood").otherwise("id").alias("distribution"), "format_valid", "correctness", F.coalesce("status", F.lit("")).alias("status"), F.round(as_double(F.col("log_latency")), 6).alias("latency_s"))
+    """Questions with place among the drawn ones, request, reference, response, official score and log cells, '' or null where the log has no row."""
+    scores = _rows(spark, sf).select("qid", "dataset", "reference_answer", "answer_format", "scoring_method", "primary_capability", "primary_capability_value", "capability_group", "ood", "clinical", "format_valid", "timed_out", "correctness")
+    log = v.inference_log(spark, sf).where(F.lower(F.trim("status")) != "failed")
+    secondary = v.table(spark, sf, "train_sft").where("qid is not null").groupBy("qid").agg(F.min(capabilities.joined_codes(F.col("metadata.secondary_capabilities"))).alias("secondary"))
+    drawn = lookup.numbered(_selected(spark, sf), [], ["pos"], "selected_index").select("qid", (F.col("selected_index") + 1).alias("selected_index"))
+    out = v.requests(spark, sf).select("qid", "video", "procedure", "start_time", "end_time", "question").join(scores, "qid")
+    for other in (v.answers(spark, sf).select("qid", "answer", "latency"), log, secondary, drawn):
+        out = out.join(other, "qid", "left")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    number = lambda c: F.round(as_double(F.col(c)), 6).alias(c)
+    return out.select(
+        "selected_index", "qid", "dataset", "video", F.col("procedure").alias("procedure_type"), F.col("start_time").alias("start_time_s"), F.col("end_time").alias("end_time_s"), "question", "reference_answer",
+        F.coalesce("answer", F.lit("")).alias("candidate_answer"), F.coalesce("raw_answer", F.lit("")).alias("raw_model_answer"), "answer_format", "scoring_method", capabilities.code(F.col("primary_capability"), F.col("primary_capability_value")).alias("primary_capability"), "primary_capability_value",
+        "capability_group", F.coalesce("secondary", F.lit("")).alias("secondary_capabilities"), "ood", "clinical", "format_valid", answers.format_error(F.col("format_valid"), F.col("answer_format")).alias("format_error"), F.coalesce("latency", F.lit(0.0)).alias("latency_s"), "timed_out", "correctness",
+        F.coalesce("status", F.lit("")).alias("inference_status"), number("model_inference_s"), number("source_fps"), number("clip_duration_s"), as_whole(F.col("num_frames")).alias("num_frames"), as_whole(F.col("num_patches")).alias("num_patches"), number("peak_gpu_memory_gb"),
+        text("first_absolute_timestamp"), text("last_absolute_timestamp"),
+    )
 
 
 def bucket_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,9 +141,15 @@ _VALUES = ("dataset", "answer_format", "scoring_method", "capability_group", "oo
 
 ORACLES = {
     "selected_join": f"with {v.REQUESTS},{v.ANSWERS}, s as (select {_LOWQ} as qid, min(pos) as pos from selected_qids where {_LOWQ} is not null and pos is not null group by 1) select pos, qid, video, question, answer, response_id from s join rq using (qid) left join an using (qid)",
-    "detailed_results": _ROWS + f""", {v.REQUESTS},{v.ANSWERS},{v.LOG}
- select rq.qid, sr.dataset, rq.video, round(rq.end_time - rq.start_time, 6) as duration_s, reference_answer, coalesce(an.answer, '') as candidate_answer, answer_format, scoring_method, capability_group, case when ood then 'ood' else 'id' end as distribution, format_valid, correctness, coalesce(lg.status, '') as status, round(try_cast(nullif(lg.latency, '') as double), 6) as latency_s
- from rq join sr using (qid) left join an using (qid) left join lg on lg.qid = rq.qid and lower(trim(lg.status)) <> 'failed'""",
+    "detailed_results": _ROWS + f""", {v.REQUESTS},{v.ANSWERS},{v.FULL_LOG},
+ sc as (select qid, min(coalesce(array_to_string(metadata.secondary_capabilities, ';'), '')) as secondary from train_sft where qid is not null group by qid),
+ dr as (select qid, row_number() over (order by pos) as selected_index from (select {_LOWQ} as qid, min(pos) as pos from selected_qids where {_LOWQ} is not null and pos is not null group by 1))
+ select selected_index, rq.qid, sr.dataset, rq.video, rq.procedure as procedure_type, rq.start_time as start_time_s, rq.end_time as end_time_s, rq.question, reference_answer, coalesce(an.answer, '') as candidate_answer, coalesce(raw_answer, '') as raw_model_answer, answer_format, scoring_method,
+  coalesce(nullif(primary_capability, ''), map {{{', '.join(f"'{k}': '{c}'" for k, c in capabilities.CODES.items())}}}[primary_capability_value], primary_capability_value) as primary_capability, primary_capability_value, capability_group, coalesce(secondary, '') as secondary_capabilities, ood, clinical, format_valid,
+  case when format_valid then '' else 'not in the format ' || coalesce(answer_format, '(none)') end as format_error, coalesce(an.latency, 0.0) as latency_s, timed_out, correctness, coalesce(fl.status, '') as inference_status, round(try_cast(nullif(model_inference_s, '') as double), 6) as model_inference_s,
+  round(try_cast(nullif(source_fps, '') as double), 6) as source_fps, round(try_cast(nullif(clip_duration_s, '') as double), 6) as clip_duration_s, try_cast(nullif(num_frames, '') as bigint) as num_frames, try_cast(nullif(num_patches, '') as bigint) as num_patches, try_cast(nullif(peak_gpu_memory_gb, '') as double) as peak_gpu_memory_gb,
+  coalesce(first_absolute_timestamp, '') as first_absolute_timestamp, coalesce(last_absolute_timestamp, '') as last_absolute_timestamp
+ from rq join sr using (qid) left join an using (qid) left join fl on fl.qid = rq.qid and lower(trim(fl.status)) <> 'failed' left join sc on sc.qid = rq.qid left join dr on dr.qid = rq.qid""",
     "bucket_scores": _ROWS + _BUCKETS + "select * from bk",
     "score_sets": _ROWS + " union all ".join(f"select '{n}' as report, {_KEY(c)} as key, {_SCORED} from sr group by {_KEY(c)}" for n, c in SETS.items()),
     **{f"{n}_scores": _ROWS + f"select {', '.join(c)}, {_SCORED} from sr group by all" for n, c in SETS.items()},

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import label, vkey
+from qaloom.functions.timecode import hhmmss
 from qaloom.operators.intents import window_valid
 
 LONGEST_WINDOW_S = 300.001
@@ -100,6 +101,20 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("qid", F.coalesce("inference_status", F.lit("")).alias("status"), F.when(F.col("latency_s").isNotNull(), F.format_string("%.6f", "latency_s")).otherwise("").alias("latency"), F.when(F.col("timed_out"), "TimeoutError").otherwise("").alias("error_type"))
 
 
+def inference_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The full log of a run as text cells, '' for what is missing: the frames and times of each question from its window."""
+    start, end = F.col("start_time_s"), F.col("end_time_s")
+    d = end - start
+    sound = d.isNotNull() & ~F.isnan(d) & (d > 0)
+    cell = lambda c: F.coalesce(c, F.lit(""))
+    n = F.least(F.lit(32), F.greatest(F.lit(1), F.ceil(d - 1e-9)))
+    return results(spark, sf).select(
+        "qid", cell(F.col("inference_status")).alias("status"), cell(F.concat(F.lit("Answer: "), F.col("candidate_answer"))).alias("raw_answer"), cell(F.when(F.col("latency_s").isNotNull(), F.format_string("%.6f", "latency_s"))).alias("model_inference_s"),
+        cell(F.when(F.col("videoid").isNotNull(), F.when(F.length("videoid") % 2 == 0, "25.0").otherwise("29.97"))).alias("source_fps"), cell(F.when(sound, F.format_string("%.6f", d))).alias("clip_duration_s"), cell(F.when(sound, n.cast("bigint").cast("string"))).alias("num_frames"),
+        cell(F.when(sound, (n * 2).cast("bigint").cast("string"))).alias("num_patches"), F.lit("").alias("peak_gpu_memory_gb"), cell(F.when(sound, hhmmss(start))).alias("first_absolute_timestamp"), cell(F.when(sound, hhmmss(end))).alias("last_absolute_timestamp"),
+    )
+
+
 # --- the same as SQL ------------------------------------------------------------
 
 LABEL = r"nullif(regexp_replace(lower(regexp_replace({}, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g'), '')"
@@ -139,6 +154,15 @@ RESULTS = "\nrs as (select distinct * from detailed_results)"
 ANSWERS = "\nan as (select qid, r.answer as answer, r.latency as latency, r.response_id as response_id from (select qid, arg_min({'answer': answer, 'latency': latency, 'response_id': response_id}, response_id) as r from responses where qid is not null and response_id is not null group by qid))"
 LOG = "\nlg as (select qid, coalesce(inference_status, '') as status, coalesce(format('{:.6f}', latency_s), '') as latency, case when timed_out then 'TimeoutError' else '' end as error_type from rs)"
 
+_D = "end_time_s - start_time_s"
+_SOUND = f"isfinite({_D}) and {_D} > 0"
+_N = f"least(32, greatest(1, ceil({_D} - 1e-9)))::bigint"
+FULL_LOG = f"""
+fl as (select qid, coalesce(inference_status, '') as status, coalesce('Answer: ' || candidate_answer, '') as raw_answer, coalesce(format('{{:.6f}}', latency_s), '') as model_inference_s,
+  coalesce(case when length(videoid) % 2 = 0 then '25.0' when videoid is not null then '29.97' end, '') as source_fps, case when {_SOUND} then format('{{:.6f}}', {_D}) else '' end as clip_duration_s,
+  case when {_SOUND} then ({_N})::varchar else '' end as num_frames, case when {_SOUND} then ({_N} * 2)::varchar else '' end as num_patches, '' as peak_gpu_memory_gb,
+  case when {_SOUND} then {clock_sql('floor(start_time_s)::bigint')} else '' end as first_absolute_timestamp, case when {_SOUND} then {clock_sql('floor(end_time_s)::bigint')} else '' end as last_absolute_timestamp from rs)"""
+
 
 def cap_sql(a: str, k: str) -> str:
     """At most k entries of a list, evenly spaced."""

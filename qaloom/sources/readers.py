@@ -125,6 +125,13 @@ def png_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", (F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))).alias("is_png"))
 
 
+def jpeg_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content): files of a cache of JPEGs; one without the format's first bytes is an error when it is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jp*g").load(folder)
+    sound = F.substring("content", 1, 3) == F.unhex(F.lit("FFD8FF"))
+    return files.select("path", "length", F.when(sound, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not a JPEG: "), "path"))).alias("content"))
+
+
 def annotated(spark: SparkSession, path: str, dataset: str, split: str) -> DataFrame:
     """Rows of one dataset and split of a partitioned table; other partitions are not read."""
     return spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("split") == split))
