@@ -27,44 +27,20 @@ empty mixture.
 
 from __future__ import annotations
 
-import base64
-import os
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import trimmed_lower
 from qaloom.operators.lineage import cut
+from qaloom.operators.tokens import VOCABULARY, send_vocabulary, tokenizer
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TARGETS_A_DRAW = 10_000
 SHARDS_A_TASK = 1000
 
 
-@lru_cache(2)
-def tokenizer(vocabulary: str):
-    """The tokenizer of a vocabulary file, given by its path or, in tasks, by the name it was sent under."""
-    import tiktoken
-
-    path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
-    # Fixed value: the public split pattern that belongs to this vocabulary.
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def send_vocabulary(spark: SparkSession, vocabulary: str) -> str:
-    """Send the vocabulary to all executors through Spark's file server; the name to open it by."""
-    spark.sparkContext.addFile(vocabulary)
-    return os.path.basename(vocabulary)
-
-
 def _texts(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), trimmed_lower(F.col(source)).alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t"))
 
