@@ -172,6 +172,6 @@ ORACLES = {
     "split_manifests": f"with {manifests._SAMPLES}, m as (select 'train' as manifest, * from sm where split = 'train' union all select 'val_' || dataset, * from sm where split = 'val' and dataset is not null union all select 'val_all', * from sm where split = 'val' and dataset is not null) select manifest, count(*) as n_records, min(sample_id) as first_id, max(sample_id) as last_id, sum(num_frames)::bigint as n_frames from m group by manifest",
     "annotated_scan": f"with {manifests._SAMPLES} select sample_id, num_frames from sm where dataset = 'heico' and split = 'train'",
     "run_checkpoint": f"with {v.ANSWERS},{v.RESULTS},{v.LOG} select 'responses' as output, count(*) as n, min(qid) as first_id from an union all select 'log', count(*), min(qid) from lg union all select 'failures', count(*), min(qid) from lg where lower(trim(status)) = 'failed'",
-    "refuse_overwrite": "select r_regionkey, r_name, true as refused from region",
+    "refuse_overwrite": "select r_regionkey::bigint as r_regionkey, r_name, true as refused from region",
     "report_files": " union all ".join(f"select '{n}' as report, count(*) as n_rows from ({scores.ORACLES[n]})" for n in REPORTS),
 }
