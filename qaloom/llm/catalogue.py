@@ -339,7 +339,7 @@ with recursive v as (select distinct qid, {_VKEY} as vkey from request where {_V
 select component, vkey, n_splits from own where component in (select component from own group by 1 having min(a) <> max(b))"""
 
 _P4_TOTALS = f"""
-select dataset, count(*) as n_records, 0 as n_torn
+select dataset, count(*) as n_records, 0::bigint as n_torn
 from (select sample_id, min(coalesce({_LOW.format('dataset')}, '(none)')) as dataset from train_sft where sample_id is not null group by 1) group by dataset"""
 
 _P7_FOUND = r"""
