@@ -49,19 +49,36 @@ def numbers(text: str, known: _Words) -> np.ndarray:
     return np.array([known[w] for w in _WORD.findall(text.lower())], dtype=np.uint64)
 
 
-def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of ``size`` words, by differences of prefix sums modulo 2**64.
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the factor and of its inverse, at least ``n`` of each, kept for all texts."""
+    if len(_POWERS[0]) < n:
+        for k, f in enumerate((int(_FACTOR), pow(int(_FACTOR), -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.full(max(n, 4096, 2 * len(_POWERS[k])), np.uint64(f), dtype=np.uint64))
+    return _POWERS
+
+
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of word * factor**position before each position, modulo 2**64."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * _powers(len(x))[0][: len(x)], dtype=np.uint64)))
+
+
+def hashes_of(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of all windows of ``size`` words, by differences of prefix sums.
 
     The sum of word * factor**position over a window, shifted to the window's
     start by the factor's inverse, depends on its words alone.
     """
-    n = len(x) - size + 1
+    n = len(prefix) - size
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    powers = np.cumprod(np.full(len(x), _FACTOR, dtype=np.uint64))
-    inverse = np.cumprod(np.full(len(x), np.uint64(pow(int(_FACTOR), -1, 1 << 64)), dtype=np.uint64))
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * powers, dtype=np.uint64)))
-    return ((prefix[size:] - prefix[:-size]) * inverse[:n]).view(np.int64)
+    return ((prefix[size:] - prefix[:-size]) * _powers(n)[1][:n]).view(np.int64)
+
+
+def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
+    return hashes_of(prefix_sums(x), size)
 
 
 def _free(marked: np.ndarray, size: int) -> np.ndarray:
@@ -80,13 +97,14 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, i
     item, so there are few passes.
     """
     marked_doc, marked_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    of_doc, of_item = prefix_sums(doc), prefix_sums(item)
     tiles: list[tuple[int, int, int]] = []
 
     def matches(size: int):
         i, j = _free(marked_doc, size), _free(marked_item, size)
         if not len(i) or not len(j):
             return None
-        h, g = window_hashes(doc, size)[i], window_hashes(item, size)[j]
+        h, g = hashes_of(of_doc, size)[i], hashes_of(of_item, size)[j]
         hit = np.isin(h, g)
         return (i[hit], h[hit], j, g) if hit.any() else None
 
