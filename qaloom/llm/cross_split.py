@@ -41,6 +41,7 @@ from qaloom.operators.lineage import cut
 SEGMENT = 5  # words; shorter for short texts, see segment_length
 STRETCH = 1000  # words that segments are chosen in together
 COUNTERS = 1 << 18
+PIECE = 1 << 12  # counters in a row that is exchanged or goes to the driver
 MOST_BITS = 1 << 27
 
 
@@ -210,12 +211,24 @@ def substring_counts(train: DataFrame, per: int) -> np.ndarray:
             found = [h for _, _, h in _offers(batch, numbers, per)]
             if found:
                 total += np.bincount(np.concatenate(found) & (COUNTERS - 1), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": at, "n": total[at]})
+        for i in range(0, COUNTERS, PIECE):
+            if total[i : i + PIECE].any():
+                yield pd.DataFrame({"at": [i], "n": [total[i : i + PIECE].tobytes()]})
 
-    sums = train.select("class", "answer_key", "words").mapInPandas(work, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, n in zip(batch["at"].tolist(), batch["n"]):
+                part = np.frombuffer(n, dtype=np.int64)
+                sums[i] = sums[i] + part if i in sums else part
+        for i, n in sums.items():
+            yield pd.DataFrame({"at": [i], "n": [n.tobytes()]})
+
+    parts = train.select("class", "answer_key", "words").mapInPandas(work, "at long, n binary").repartition("at")
     out = np.zeros(COUNTERS, dtype=np.int64)
-    out[sums["counter"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    for row in parts.mapInPandas(add, "at long, n binary").collect():  # 8 bytes a counter, packed
+        part = np.frombuffer(row["n"], dtype=np.int64)
+        out[row["at"] : row["at"] + len(part)] += part
     return out
 
 

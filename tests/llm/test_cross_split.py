@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from qaloom.llm import bitmaps
 from qaloom.llm import cross_split as c
 
 SCHEMA = "sample_id string, split string, user_text string, assistant_text string, class int, words string"
@@ -113,6 +114,45 @@ def test_small_counters_and_bitmaps_lose_nothing(spark, monkeypatch):
     assert got == expected(rows)
 
 
+@pytest.fixture
+def fetched(monkeypatch):
+    """Rows that the driver's Python has fetched so far."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    numbers = []
+    for name in ("collect", "toPandas"):
+        whole = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, whole=whole: (lambda rows: numbers.append(len(rows)) or rows)(whole(self)))
+    return numbers
+
+
+def test_bitmap_comes_to_the_driver_packed(spark, fetched, monkeypatch):
+    monkeypatch.setattr(bitmaps, "PIECE", 1 << 19, raising=False)
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    hashes = rows.toArrow()["h"].to_numpy()
+    for bits in (1 << 6, 1 << 21, 1 << 27):
+        fetched.clear()
+        got = bitmaps.bitmap(rows, "h", bits)
+        bits = min(bits, 1 << 22)  # 16 a row
+        want = np.zeros(bits, dtype=bool)
+        want[(hashes.view(np.uint64) >> np.uint64(20)) & np.uint64(bits - 1)] = True
+        assert got.dtype == np.uint32 and (np.unpackbits(got.view(np.uint8), bitorder="little") == want).all()
+        assert 0 < sum(fetched) <= 8 and bitmaps.marked_in(got, hashes).all()
+    assert not bitmaps.bitmap(rows.limit(0), "h").any()
+
+
+def test_counters_come_to_the_driver_packed(spark, fetched):
+    texts = [" ".join(f"{i}w{j}" for j in range(200)) for i in range(200)] * 2
+    train = spark.createDataFrame([(i, bytearray(b"answer_k"), t) for i, t in enumerate(texts)], "class long, answer_key binary, words string").repartition(5)
+    got = c.substring_counts(train, 10)
+    want = np.zeros(c.COUNTERS, dtype=np.int64)
+    numbers = c._Words()
+    for t in texts:
+        for size in c.partner_segment_lengths(200):
+            np.add.at(want, c.gram_hashes(numbers.numbers(t), size, c._salt(b"answer_k")) & (c.COUNTERS - 1), 1)
+    assert (got == want).all() and want.sum() > 70_000 and 0 < sum(fetched) <= c.COUNTERS // 4096
+
+
 def test_classes_and_members_hold_all_pairs(spark):
     rows = rows_with_edits(7, 30)
     rows += [(f"copy{i}", s, u, a) for i, (_, s, u, a) in enumerate(rows)]
